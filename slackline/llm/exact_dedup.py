@@ -59,6 +59,8 @@ class DigestIndex:
             return
         best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg")))
         groups = rows.groupBy("digest").agg(best.alias("best"), F.sum("copies").alias("copies"))
+        # Written first: an anti-join planned over the aggregate would be moved below it, to rows not yet combined.
+        groups = Scratch(self.spark, "digest_groups").save(groups, "groups")
         fresh = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         fresh = fresh.select("digest", (-F.col("best.neg")).alias("keep_id"), "best.n_points", "copies", F.lit(batch).alias("batch"))
         fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
