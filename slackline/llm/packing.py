@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -27,34 +28,69 @@ from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
 #: Words kept in a worker's table of ids; when it is full it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class WordIds:
     """Token ids of whole texts, as little-endian 32-bit bytes, from a table of words seen before.
 
-    Sound for tokenizers whose tokens never cross a space: a text's ids are its words' ids.
+    Sound for tokenizers whose tokens cross neither a space nor the end of a run of letters, and
+    that ignore case: a text's ids are its words' ids, a word's ids those of its letters in lower
+    case and of the stop or comma behind them. One table serves all tasks of a worker.
     """
 
+    tables: dict[str, WordIds] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls.tables:
+            cls.tables[path] = cls(path)
+        return cls.tables[path]
+
+    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Runs of letters that stay as they are go in one text: each ends with its only word end."""
+        runs = [w for w in words if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
+        for at in range(0, len(runs), 4096):
+            part = runs[at : at + 4096]
+            ids = np.asarray(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                whole = ids.tobytes()
+                known.update(zip(part, (whole[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        rest = [w for w in words if w not in known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for word, found in zip(part, self.encode(part, add_special_tokens=False), strict=True):
+                known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         words, known = text.replace("\n", " ").split(" "), self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for word, found in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                    known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            pass
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new, parts, plain = [w for w in set(words) if w not in known], {}, set()
+        for w in new:
+            core, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
+            core = core.lower() if core.isalpha() and max(core) < "\u0130" else core
+            parts[w] = (core, tail)
+            plain.update((core, tail))
+        self._learn([w for w in plain if w not in known], known)
+        for w, (core, tail) in parts.items():
+            known[w] = known[core] + known[tail]
+        return b"".join([known[w] for w in words])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -64,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, tail, step = WordIds(tokenizer), np.asarray([end], dtype="<u4").tobytes(), 4 * capacity
+        ids, tail, step = WordIds.of(tokenizer), np.asarray([end], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 rows = []
