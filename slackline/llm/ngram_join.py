@@ -229,7 +229,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, classes: DataFrame, scratch:
     sizes = scratch.save(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     wanted = clusters.join(sizes, "component").join(classes.select(F.col("set_id").alias("id"), "rep", "copies"), "id")
     wanted = scratch.save(wanted.select("rep", F.col("id").alias("set_id"), "component", "n", "copies").where("rep is not null"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "rep")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
