@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slackline.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, toxicity, warc
+from slackline.llm import chat, ego_join, exact_dedup, mixing, ngram_join, packing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_quality": quality.op6,
     "op7_warc": warc.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op9_pii": pii.op9,
+    "op10_ego_join": ego_join.op10,
 }
 
 SQL = {
@@ -20,4 +22,5 @@ SQL = {
     "op4_chat": chat.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_ego_join": ego_join.OP10_SQL,
 }
