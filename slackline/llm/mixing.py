@@ -74,7 +74,7 @@ def budget_sql(plan: MixPlan) -> str:
 domains AS (SELECT domain, {capacity}, {_weight('domain', plan.domain_weights)} AS weight FROM leaves GROUP BY domain),
 langs AS (SELECT domain, lang, {capacity}, {_weight('lang', plan.lang_weights)} AS weight FROM leaves GROUP BY domain, lang),
 total AS (SELECT CAST(floor(coalesce(sum(tokens), 0) * CAST({plan.budget_share} AS DOUBLE)) AS BIGINT) AS wanted FROM leaves),
-rooted AS (SELECT domains.*, wanted, 0 AS root FROM domains CROSS JOIN total),
+rooted AS (SELECT domains.*, (SELECT wanted FROM total) AS wanted, 0 AS root FROM domains),
 {share('d', 'domain, root', 'root', 'domain', 'wanted', 'rooted').strip()},
 langs_of AS (SELECT langs.*, d.given AS wanted FROM langs JOIN d ON langs.domain = d.domain),
 {share('l', 'domain, lang', 'domain', 'lang', 'wanted', 'langs_of').strip()},
