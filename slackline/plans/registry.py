@@ -1,11 +1,221 @@
-"""Queries by name, each with the SQL that says the same."""
+"""Queries by name over the derived graph, each with the SQL that says the same.
+
+SQL enumerates every source-to-sink path, or joins layer by layer: it shares nothing with the
+plans it checks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slackline.functions import candidates as C
+from slackline.operators import bitsets, graph, metrics, paths, selection
+from slackline.operators.suffix import deviations, violated
+from slackline.sources import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+K = 1000
+cache = paths.StaticCache()
+
+
+def index(spark: SparkSession, sf_dir: str) -> paths.PathIndex:
+    return cache.get((spark.sparkContext.applicationId, sf_dir), lambda: paths.PathIndex.build(derived.edges(spark, sf_dir)))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).tree.select("id", F.col("level").cast("long").alias("level"))
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    """Path nodes of no or one deviation, as parents at the vertices of their ways."""
+    i = index(spark, d)
+    return i.roots.join(i.chains.select("id", "u"), "id").select(F.col("id").alias("parent_id"), F.col("u").alias("src"), F.col("dist").alias("cost"))
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).devs.select((F.col("src") * 1_000_000_000 + F.col("dst")).alias("family_id"), "src", "dst", "delta")
+
+
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    return selection.candidates(_parents(spark, d), _families(spark, d))
+
+
+SPLIT, FINAL = 500_000, 5_000_000
+
+
+def _graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    i = index(spark, d)
+    return graph.graph_stats(i.edges, _levels(spark, d))
+
+
+def _tile_classes(spark: SparkSession, d: str) -> DataFrame:
+    f = _families(spark, d).groupBy("src").agg(F.min("delta").alias("dl"), F.max("delta").alias("dh"), F.count("*").alias("families"))
+    p = _parents(spark, d).groupBy("src").agg(F.min("cost").alias("pl"), F.max("cost").alias("ph"), F.count("*").alias("parents"))
+    low, high, t, f_ = F.col("pl") + F.col("dl"), F.col("ph") + F.col("dh"), F.lit(True), F.lit(False)
+    of = C.tile_class_of_bounds(low, high, F.lit(SPLIT), F.lit(FINAL), t, f_)
+    short = C.short_only_class(F.col("pl"), F.col("ph"), F.col("dl"), F.col("dh"), F.lit(SPLIT))
+    return f.join(p, "src").select("src", of.alias("tile_class"), short.alias("short_class"), C.tile_count(F.col("parents"), F.col("families"), F.lit(32), F.lit(16)).alias("tiles"))
+
+
+def _per_source(spark: SparkSession, d: str) -> DataFrame:
+    p = _parents(spark, d).groupBy("src").agg(F.count("*").alias("parents"))
+    return p.join(_families(spark, d).groupBy("src").agg(F.count("*").alias("families")), "src")
+
+
+def _discover(spark: SparkSession, d: str) -> DataFrame:
+    devs = index(spark, d).devs
+    active = devs.where("src % 7 = 0").select(F.col("src").alias("id")).distinct()
+    return bitsets.discover(bitsets.build(devs, row="dst", column="src"), active)
+
+
+def _prefix_error(spark: SparkSession, d: str) -> DataFrame:
+    """The approximation of at most one deviation against the exact costs."""
+    i = index(spark, d)
+    return metrics.cost_error(paths.topk_costs(i, K), paths.topk_costs(i, K, max_deviations=1), K)
+
+
+def _prefix_compare(spark: SparkSession, d: str) -> DataFrame:
+    i = index(spark, d)
+    got = metrics.compare_prefix(paths.topk_costs(i, K), paths.topk_costs(i, K, max_deviations=1), K)
+    return got.select("max_diff", "first_mismatch", "passed")
+
+
+QUERIES: dict[str, Query] = {
+    "edges": lambda s, d: derived.edges(s, d),
+    "sources": lambda s, d: graph.sources(derived.edges(s, d)),
+    "sinks": lambda s, d: graph.sinks(derived.edges(s, d)),
+    "degrees": lambda s, d: graph.degrees(derived.edges(s, d)),
+    "topological_levels": _levels,
+    "bfs_levels": lambda s, d: graph.bfs_levels(index(s, d).edges).select("id", F.col("level").cast("long").alias("level")),
+    "level_pointers": lambda s, d: graph.level_pointers(_levels(s, d)),
+    "level_spans": lambda s, d: graph.level_spans(index(s, d).edges, _levels(s, d)),
+    "graph_stats": _graph_stats,
+    "suffix_tree": lambda s, d: index(s, d).tree.select("id", "dist", F.coalesce("succ", F.lit(-1)).alias("succ")),
+    "suffix_violations": lambda s, d: violated(index(s, d).edges, index(s, d).tree),
+    "deviations": lambda s, d: deviations(index(s, d).edges, index(s, d).tree, only_reachable=False),
+    "level_order": lambda s, d: graph.order_by_level(_levels(s, d)),
+    "relabelled_edges": lambda s, d: graph.relabel(index(s, d).edges, graph.order_by_level(_levels(s, d))),
+    "sized_up_edges": lambda s, d: graph.sized_up(derived.edges(s, d), 3, 1_000_000_000),
+    "topk_costs": lambda s, d: paths.topk_costs(index(s, d), K),
+    "topk_paths": lambda s, d: paths.topk_paths(index(s, d), K),
+    "topk_paths_with_ties": lambda s, d: paths.topk_with_ties(index(s, d), 100),
+    "topk_costs_one_deviation": lambda s, d: paths.topk_costs(index(s, d), K, max_deviations=1),
+    "path_nodes": lambda s, d: paths.path_nodes(index(s, d), K),
+    "path_levels_with_ties": lambda s, d: paths.candidate_paths(index(s, d), K).groupBy("level").agg(F.count("*").alias("n")),
+    "paths_per_step": lambda s, d: metrics.paths_per_step(paths.topk_costs(index(s, d), K), 10_000),
+    "candidates": lambda s, d: _made(s, d).select("parent_id", "src", "dst", "cost"),
+    "candidate_classes": lambda s, d: selection.class_counts(_made(s, d), SPLIT, FINAL),
+    "candidates_under_split": lambda s, d: selection.candidates(_parents(s, d), _families(s, d), SPLIT).select("parent_id", "src", "dst", "cost"),
+    "candidates_first_with_ties": lambda s, d: selection.first_n_with_ties(_made(s, d), 200).select("parent_id", "src", "dst", "cost"),
+    "family_counts": lambda s, d: selection.family_counts(_parents(s, d), _families(s, d), SPLIT, FINAL),
+    "pile_summary": lambda s, d: selection.pile_summary(_made(s, d), SPLIT),
+    "parent_order": lambda s, d: selection.in_source_order(_parents(s, d)).select("parent_id", "src", "cost", F.col("k").cast("long").alias("k")),
+    "source_slots": lambda s, d: selection.source_slots(_families(s, d)).select("src", F.col("slot").cast("long").alias("slot")),
+    "tile_classes": _tile_classes,
+    "tile_stats": lambda s, d: selection.tile_stats(_per_source(s, d)),
+    "bit_slices": lambda s, d: bitsets.build(derived.edges(s, d)),
+    "bit_slice_summary": lambda s, d: bitsets.summary(bitsets.build(derived.edges(s, d))),
+    "bit_slice_mismatches": lambda s, d: bitsets.mismatches(bitsets.build(derived.edges(s, d)), derived.edges(s, d)),
+    "deviation_slices": lambda s, d: bitsets.build(index(s, d).devs, row="dst", column="src"),
+    "deviation_discovery": _discover,
+    "cost_error_one_deviation": _prefix_error,
+    "prefix_comparison": _prefix_compare,
+}
+
+_E = derived.EDGES_SQL
+_V = "vertices AS (SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges))"
+#: Longest and shortest ways by edge count, and cheapest by cost, unrolled: the graph is six layers deep.
+_UP = f"""{_E}, {_V},
+snk AS (SELECT id FROM vertices WHERE id NOT IN (SELECT src FROM edges)),
+way(id, n) AS (SELECT id, 0 FROM snk UNION SELECT e.src, way.n + 1 FROM way JOIN edges e ON e.dst = way.id),
+topo AS (SELECT id, CAST(max(n) AS BIGINT) AS level FROM way GROUP BY id), bfs AS (SELECT id, CAST(min(n) AS BIGINT) AS level FROM way GROUP BY id)"""
+_DIST = ", t0 AS MATERIALIZED (SELECT id, CAST(0 AS BIGINT) AS dist, CAST(NULL AS BIGINT) AS succ FROM snk)"
+for _k in range(1, 6):
+    _DIST += f""", t{_k} AS MATERIALIZED (SELECT * FROM t{_k - 1} UNION ALL SELECT x.id, x.dist, x.succ FROM (SELECT e.src AS id, min(e.w + t.dist) AS dist, arg_min(e.dst, (e.w + t.dist, e.dst)) AS succ
+  FROM edges e JOIN topo ON topo.id = e.src AND topo.level = {_k} JOIN t{_k - 1} t ON t.id = e.dst GROUP BY e.src) x)"""
+_TREE = f"{_UP}{_DIST}, tree AS MATERIALIZED (SELECT id, CAST(dist AS BIGINT) AS dist, succ FROM t5)"
+_DEV = f"""{_TREE}, devs AS MATERIALIZED (SELECT e.src, e.dst, e.w, CAST(b.dist + e.w - a.dist AS BIGINT) AS delta, true AS reachable
+  FROM edges e JOIN tree a ON a.id = e.src JOIN tree b ON b.id = e.dst WHERE a.succ IS DISTINCT FROM e.dst)"""
+_CAND = f"""{_DEV}, src0 AS (SELECT id FROM vertices WHERE id NOT IN (SELECT dst FROM edges)),
+chain(root, cost, u) AS (SELECT s.id, t.dist, s.id FROM src0 s JOIN tree t ON t.id = s.id UNION ALL SELECT c.root, c.cost, t.succ FROM chain c JOIN tree t ON t.id = c.u WHERE t.succ IS NOT NULL),
+parents AS (SELECT root AS parent_id, u AS src, cost FROM chain),
+families AS (SELECT src * 1000000000 + dst AS family_id, src, dst, delta FROM devs),
+made AS (SELECT p.parent_id, f.family_id, p.src, f.dst, p.cost + f.delta AS cost FROM parents p JOIN families f ON f.src = p.src)"""
+_ALL = f"""{_E}, {_V},
+full_paths(v, cost, path) AS (SELECT id, CAST(0 AS BIGINT), CAST(id AS VARCHAR) FROM vertices WHERE id NOT IN (SELECT dst FROM edges)
+  UNION ALL SELECT e.dst, p.cost + e.w, p.path || '-' || e.dst FROM full_paths p JOIN edges e ON e.src = p.v),
+done AS (SELECT cost, path FROM full_paths WHERE v NOT IN (SELECT src FROM edges))"""
+#: Paths with their number of deviations, to check the bounded approximation.
+_COUNTED = f"""{_TREE}, marked AS (SELECT e.src, e.dst, e.w, CASE WHEN t.succ IS DISTINCT FROM e.dst THEN 1 ELSE 0 END AS off FROM edges e JOIN tree t ON t.id = e.src),
+counted(v, cost, off) AS (SELECT id, CAST(0 AS BIGINT), 0 FROM vertices WHERE id NOT IN (SELECT dst FROM edges)
+  UNION ALL SELECT m.dst, c.cost + m.w, c.off + m.off FROM counted c JOIN marked m ON m.src = c.v),
+whole AS MATERIALIZED (SELECT cost, off FROM counted WHERE v IN (SELECT id FROM snk)),
+exact AS (SELECT row_number() OVER (ORDER BY cost) AS rank, cost FROM whole ORDER BY cost LIMIT {K}),
+near AS (SELECT row_number() OVER (ORDER BY cost) AS rank, cost FROM whole WHERE off <= 1 ORDER BY cost LIMIT {K})"""
+
+_NAMED = f"""{_TREE}, marked AS (SELECT e.src, e.dst, e.w, CASE WHEN t.succ IS DISTINCT FROM e.dst THEN 1 ELSE 0 END AS off FROM edges e JOIN tree t ON t.id = e.src),
+walk(v, cost, level, path) AS (SELECT id, CAST(0 AS BIGINT), 0, CAST(id AS VARCHAR) FROM vertices WHERE id NOT IN (SELECT dst FROM edges)
+  UNION ALL SELECT m.dst, p.cost + m.w, p.level + m.off, p.path || '-' || m.dst FROM walk p JOIN marked m ON m.src = p.v),
+named AS (SELECT cost, level, path FROM walk WHERE v IN (SELECT id FROM snk))"""
+
+
+def _with(ctes: str, query: str) -> str:
+    return f"WITH RECURSIVE {ctes.strip()}\n{query}"
+
+
+def _tiles(m: int, n: int) -> str:
+    return (
+        f"CAST(sum((parents // {m}) * (families // {n})) AS BIGINT) AS full_{m}x{n}, CAST(sum(ceil(parents / {m}) * ceil(families / {n}) - (parents // {m}) * (families // {n})) AS BIGINT) AS partial_{m}x{n}, "
+        f"CAST(sum(ceil(parents / {m}) * ceil(families / {n}) * {m * n}) AS BIGINT) AS capacity_{m}x{n}, "
+        f"CAST(sum((SELECT coalesce(sum(least({m}, parents - i * {m}) * least({n}, families - j * {n})) FILTER (2 * least({m}, parents - i * {m}) * least({n}, families - j * {n}) >= {m * n}), 0) "
+        f"FROM range(CAST(ceil(parents / {m}) AS BIGINT)) a(i), range(CAST(ceil(families / {n}) AS BIGINT)) b(j))) AS BIGINT) AS dense_{m}x{n}"
+    )
+
+
+_SHORT = f"cost <= {SPLIT}"
+_LATE = f"cost > {FINAL}"
+SQL: dict[str, str] = {
+    "edges": _with(_E, "SELECT * FROM edges"),
+    "sources": _with(f"{_E}, {_V}", "SELECT id FROM vertices EXCEPT SELECT dst FROM edges"),
+    "sinks": _with(f"{_E}, {_V}", "SELECT id FROM vertices EXCEPT SELECT src FROM edges"),
+    "degrees": _with(f"{_E}, {_V}", "SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS out_degree, (SELECT count(*) FROM edges WHERE dst = id) AS in_degree FROM vertices"),
+    "topological_levels": _with(_UP, "SELECT * FROM topo"),
+    "bfs_levels": _with(_UP, "SELECT * FROM bfs"),
+    "level_pointers": _with(_UP, "SELECT level, count(*) AS n, CAST(coalesce(sum(count(*)) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM topo GROUP BY level"),
+    "level_spans": _with(_UP, "SELECT a.level - b.level AS span, count(*) AS n FROM edges e JOIN topo a ON a.id = e.src JOIN topo b ON b.id = e.dst GROUP BY 1"),
+    "graph_stats": _with(_UP, "SELECT (SELECT count(*) FROM topo) AS n_vertices, (SELECT count(*) FROM edges) AS n_edges, round((SELECT count(*) FROM edges) / (SELECT count(*) FROM topo), 4) AS avg_degree, (SELECT max(level) FROM topo) AS diameter"),
+    "suffix_tree": _with(_TREE, "SELECT id, dist, coalesce(succ, -1) AS succ FROM tree"),
+    "suffix_violations": _with(_TREE, "SELECT e.* FROM edges e JOIN tree a ON a.id = e.src JOIN tree b ON b.id = e.dst WHERE a.dist > e.w + b.dist"),
+    "deviations": _with(_DEV, "SELECT * FROM devs"),
+    "level_order": _with(_UP, "SELECT id, row_number() OVER (ORDER BY level, id) - 1 AS new_id FROM topo"),
+    "relabelled_edges": _with(f"{_UP}, o AS (SELECT id, row_number() OVER (ORDER BY level, id) - 1 AS new_id FROM topo)", "SELECT a.new_id AS src, b.new_id AS dst, w FROM edges JOIN o a ON a.id = src JOIN o b ON b.id = dst"),
+    "sized_up_edges": _with(_E, "SELECT src + 1000000000 * c AS src, dst + 1000000000 * c AS dst, w FROM edges, range(3) r(c)"),
+    "topk_costs": _with(_ALL, f"SELECT row_number() OVER (ORDER BY cost) AS rank, cost FROM done ORDER BY cost LIMIT {K}"),
+    "topk_paths": _with(_NAMED, f"SELECT row_number() OVER (ORDER BY cost, path) AS rank, cost, level, path FROM named ORDER BY cost, path LIMIT {K}"),
+    "topk_paths_with_ties": _with(_ALL, "SELECT cost, path FROM done QUALIFY rank() OVER (ORDER BY cost) <= 100"),
+    "path_levels_with_ties": _with(_NAMED, f"SELECT level, count(*) AS n FROM (SELECT level FROM named QUALIFY rank() OVER (ORDER BY cost) <= {K}) GROUP BY level"),
+    "topk_costs_one_deviation": _with(_COUNTED, "SELECT * FROM near"),
+    "paths_per_step": _with(_COUNTED, "SELECT CAST((cost - (SELECT min(cost) FROM exact)) // 10000 AS BIGINT) AS step, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM exact GROUP BY 1"),
+    "candidates": _with(_CAND, "SELECT parent_id, src, dst, cost FROM made"),
+    "candidate_classes": _with(_CAND, f"SELECT CASE WHEN {_SHORT} THEN 'SHORT' WHEN {_LATE} THEN 'SKIP' ELSE 'LONG' END AS class, count(*) AS n FROM made GROUP BY 1"),
+    "candidates_under_split": _with(_CAND, f"SELECT parent_id, src, dst, cost FROM made WHERE {_SHORT}"),
+    "candidates_first_with_ties": _with(_CAND, "SELECT parent_id, src, dst, cost FROM made QUALIFY rank() OVER (ORDER BY cost) <= 200"),
+    "family_counts": _with(_CAND, f"SELECT family_id, count(*) FILTER ({_SHORT}) AS n_short, count(*) FILTER (NOT {_SHORT} AND NOT {_LATE}) AS n_long, count(*) FILTER ({_LATE}) AS n_skip, count(*) AS total FROM made GROUP BY family_id"),
+    "pile_summary": _with(_CAND, f"SELECT min(cost) AS least, count(*) FILTER ({_SHORT}) AS n_within, count(*) FILTER (NOT {_SHORT}) AS n_beyond FROM made"),
+    "parent_order": _with(_CAND, "SELECT *, row_number() OVER (PARTITION BY src ORDER BY cost, parent_id) AS k FROM parents"),
+    "source_slots": _with(_CAND, "SELECT src, row_number() OVER (ORDER BY src) - 1 AS slot FROM (SELECT DISTINCT src FROM families)"),
+    "tile_classes": _with(_CAND, f"""SELECT src, CASE WHEN hi <= {SPLIT} THEN 'ALL_SHORT' WHEN lo > {SPLIT} AND hi <= {FINAL} THEN 'ALL_LONG' WHEN lo > {SPLIT} AND lo > {FINAL} THEN 'ALL_SKIP' ELSE 'MIXED' END AS tile_class,
+  CASE WHEN hi <= {SPLIT} THEN 'ALL_SHORT' WHEN lo > {SPLIT} THEN 'ALL_SKIP' ELSE 'MIXED' END AS short_class, CAST(ceil(np / 32) * ceil(nf / 16) AS BIGINT) AS tiles
+  FROM (SELECT src, min(cost) AS lo, max(cost) AS hi, count(DISTINCT parent_id) AS np, count(DISTINCT family_id) AS nf FROM made GROUP BY src)"""),
+    "tile_stats": _with(f"{_CAND}, per AS (SELECT src, count(DISTINCT parent_id) AS parents, count(DISTINCT family_id) AS families FROM made GROUP BY src)", "SELECT count(*) AS sources, CAST(sum(families) AS BIGINT) AS pairs, CAST(sum(parents) AS BIGINT) AS parents, CAST(sum(parents * families) AS BIGINT) AS products, max(parents) AS max_parents, max(families) AS max_families, max(parents * families) AS max_products, " + ", ".join(_tiles(*t) for t in ((16, 16), (16, 32), (32, 32))).replace("parents /", "per.parents /") + " FROM per"),
+    "bit_slices": _with(_E, "SELECT dst // 8 AS interval, src AS row_id, bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY 1, 2"),
+    "bit_slice_summary": _with(f"{_E}, s AS (SELECT bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY dst // 8, src)", "SELECT count(*) AS slices, CAST(sum(bit_count(mask)) AS BIGINT) AS bits, round(sum(bit_count(mask)) / (count(*) * 8), 6) AS ratio FROM s"),
+    "bit_slice_mismatches": _with(_E, "SELECT src, dst FROM edges WHERE false"),
+    "deviation_slices": _with(_DEV, "SELECT src // 8 AS interval, dst AS row_id, bit_or(CAST(1 << (src % 8) AS INT)) AS mask FROM devs GROUP BY 1, 2"),
+    "deviation_discovery": _with(_DEV, "SELECT src, dst FROM devs WHERE src % 7 = 0"),
+    "cost_error_one_deviation": _with(_COUNTED, f"SELECT round(sum(abs(n.cost - e.cost) / e.cost * 100) / {K}, 6) AS avg_error_pct, round(max(abs(n.cost - e.cost) / e.cost * 100), 6) AS max_error_pct FROM exact e JOIN near n USING (rank) WHERE e.cost > 0"),
+    "prefix_comparison": _with(f"{_COUNTED}, off_by AS (SELECT rank, coalesce(abs(n.cost - e.cost), {2**62}) AS d FROM exact e FULL JOIN near n USING (rank))", "SELECT max(d) AS max_diff, min(rank) FILTER (d > 10) AS first_mismatch, min(rank) FILTER (d > 10) IS NULL AS passed FROM off_by"),
+}
