@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slackline.llm import memo
 from slackline.llm.groups import starts, whole_groups
 from slackline.operators.components import connected_components
 from slackline.plans.scratch import Scratch
@@ -42,13 +43,14 @@ _MASK = 2**64 - 1
 
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
 
 _words = _WordHash()
+memo.register("ngram_join", _words.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -181,6 +183,7 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo.claim("ngram_join")
         for batch in batches:
             ids, sigs, keys = [], [], []
             for text in batch["text"]:
@@ -232,6 +235,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, classes: DataFrame, scratch:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "rep")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo.claim("ngram_join")
         for batch in batches:
             found = [shingles(t) for t in batch["text"]]
             same = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() == i for f, i in zip(found, batch["set_id"], strict=True)]

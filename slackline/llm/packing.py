@@ -24,11 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slackline.llm import memo
 from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
 #: Words kept in a worker's table of ids; when it is full it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 
 
 class WordIds:
@@ -90,12 +91,16 @@ class WordIds:
         return [b"".join([known[w] for w in words]) for words in lists]
 
 
+memo.register("packing", WordIds.tables.clear)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids (bytes, little-endian 32-bit): each text's ids and ``end``, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
+        memo.claim("packing")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids, tail, step = WordIds.of(tokenizer), np.asarray([end], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:

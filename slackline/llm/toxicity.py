@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slackline.llm import memo
 from slackline.llm.labelled import held_out, labelled_sample
 from slackline.plans.scratch import Scratch
 
@@ -88,7 +89,7 @@ _PART = re.compile(r"[^\W_]+|[.!?;:|]+")
 class Symbols(dict):
     """Chunks between white space to a number: 0 if ordinary throughout, else of a symbol sequence."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 500_000):
+    def __init__(self, lexicon: Lexicon, most: int = 200_000):
         super().__init__()
         self.lexicon, self.most, self.found, self.number = lexicon, most, [((ORDINARY, 0.0),)], {}
 
@@ -301,6 +302,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(json.dumps(model))
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo.claim("toxicity")
         model = json.loads(held.value)
         scorer, curve = Scorer(model["lexicon"]), model["curve"]
         for batch in texts:
