@@ -59,7 +59,7 @@ def statistics(text: str) -> list[float]:
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: float = 0.12, bins: int = 48, least: float = 4.0, ridge: float = 1.0) -> dict[str, np.ndarray]:
     """Boosting on the logistic loss; splits are sought in histograms of at most ``bins`` quantile bins."""
     rows, columns = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(columns)]
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if rows else np.zeros(0) for j in range(columns)]
     binned = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)]).astype(np.int64)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3) if rows else 0.5
     base, inner = math.log(share / (1 - share)), 2**depth - 1
