@@ -28,7 +28,7 @@ from slackline.llm import memo
 from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
-#: Words kept in a worker's table of ids; when it is full it starts anew.
+#: Words kept in a worker's table of ids; beyond that, words last for one batch.
 CACHE_WORDS = 700_000
 
 
@@ -76,8 +76,6 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         lists, known = [t.replace("\n", " ").split(" ") for t in texts], self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
         parts, plain = [], set()
         for w in set().union(*lists).difference(known):
             core, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
@@ -88,7 +86,13 @@ class WordIds:
         self._learn([w for w in plain if w not in known], known)
         for w, core, tail in parts:
             known[w] = known[core] + known[tail]
-        return [b"".join([known[w] for w in words]) for words in lists]
+        out = [b"".join([known[w] for w in words]) for words in lists]
+        if len(known) > CACHE_WORDS:  # what came first is what is frequent: it stays, this batch's words go
+            for w, core, tail in parts:
+                known.pop(w, None)
+                known.pop(core, None)
+                known.pop(tail, None)
+        return out
 
 
 memo.register("packing", WordIds.tables.clear)
