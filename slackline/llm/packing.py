@@ -28,8 +28,8 @@ from slackline.llm import memo
 from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
-#: Words kept in a worker's table of ids; beyond that, words last for one batch.
-CACHE_WORDS = 700_000
+#: Words kept in a worker's table of ids; when it is full it starts anew.
+CACHE_WORDS = 1_000_000
 
 
 class WordIds:
@@ -74,25 +74,24 @@ class WordIds:
             for word, found in zip(part, self.encode(part, add_special_tokens=False), strict=True):
                 known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        lists, known = [t.replace("\n", " ").split(" ") for t in texts], self.known
-        parts, plain = [], set()
-        for w in set().union(*lists).difference(known):
+    def __call__(self, text: str) -> bytes:
+        words, known = text.replace("\n", " ").split(" "), self.known
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            pass
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new, parts, plain = [w for w in set(words) if w not in known], {}, set()
+        for w in new:
             core, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
             core = core.lower() if core.isalpha() and max(core) < "\u0130" else core
-            parts.append((w, core, tail))
-            plain.add(core)
-            plain.add(tail)
+            parts[w] = (core, tail)
+            plain.update((core, tail))
         self._learn([w for w in plain if w not in known], known)
-        for w, core, tail in parts:
+        for w, (core, tail) in parts.items():
             known[w] = known[core] + known[tail]
-        out = [b"".join([known[w] for w in words]) for words in lists]
-        if len(known) > CACHE_WORDS:  # what came first is what is frequent: it stays, this batch's words go
-            for w, core, tail in parts:
-                known.pop(w, None)
-                known.pop(core, None)
-                known.pop(tail, None)
-        return out
+        return b"".join([known[w] for w in words])
 
 
 memo.register("packing", WordIds.tables.clear)
@@ -110,8 +109,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 rows = []
-                for doc, whole in zip(batch["doc_id"].iloc[lo : lo + 512], ids(batch["text"].iloc[lo : lo + 512].tolist()), strict=True):
-                    whole += tail
+                for doc, text in zip(batch["doc_id"].iloc[lo : lo + 512], batch["text"].iloc[lo : lo + 512], strict=True):
+                    whole = ids(text) + tail
                     doc = None if pd.isna(doc) else int(doc)
                     rows += [(doc, k, k * capacity, min(step, len(whole) - at) // 4, whole[at : at + step]) for k, at in enumerate(range(0, len(whole), step))]
                 made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
