@@ -16,8 +16,8 @@ packed as often as they come; an empty table gives nothing; extra columns are ig
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -30,27 +30,30 @@ from slackline.plans.scratch import Scratch
 CAPACITY, END = 4096, 1
 #: Words kept in a worker's table of ids; when it is full it starts anew.
 CACHE_WORDS = 1_000_000
+#: Marks that make one run when they end a word, and that begin no token of letters.
+STOPS = ".,!?;:#$%&*"
 
 
-class WordIds:
-    """Token ids of whole texts, as little-endian 32-bit bytes, from a table of words seen before.
+class WordIds(dict):
+    """Token ids of words, as little-endian 32-bit bytes, learnt as they are asked for.
 
     Sound for tokenizers whose tokens cross neither a space nor the end of a run of letters, and
     that ignore case: a text's ids are its words' ids, a word's ids those of its letters in lower
-    case and of the stop or comma behind them. One table serves all tasks of a worker.
+    case and of the marks behind them. Runs of Latin letters go to the tokenizer's model,
+    the rest through the whole tokenizer. One table serves all tasks of a worker.
     """
 
     tables: dict[str, WordIds] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode_batch
-        self.known: dict[str, bytes] = {}
-        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-        for token, k in tokenizer.get_vocab().items():
-            self.ends[k] = token.endswith("</w>")
+        super().__init__()
+        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        #: Latin letters from U+0080, as the model reads them; composed, so normal form C leaves them alone.
+        self.letters = {k: split(chr(k))[0][0] for k in range(0x80, 0x130) if chr(k).isalpha()}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -58,40 +61,23 @@ class WordIds:
             cls.tables[path] = cls(path)
         return cls.tables[path]
 
-    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Runs of letters that stay as they are go in one text: each ends with its only word end."""
-        runs = [w for w in words if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
-        for at in range(0, len(runs), 4096):
-            part = runs[at : at + 4096]
-            ids = np.asarray(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(ends) == len(part):
-                whole = ids.tobytes()
-                known.update(zip(part, (whole[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        rest = [w for w in words if w not in known]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for word, found in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new, parts, plain = [w for w in set(words) if w not in known], {}, set()
-        for w in new:
-            core, tail = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[-2:-1].isalpha() else (w, "")
-            core = core.lower() if core.isalpha() and max(core) < "\u0130" else core
-            parts[w] = (core, tail)
-            plain.update((core, tail))
-        self._learn([w for w in plain if w not in known], known)
-        for w, (core, tail) in parts.items():
-            known[w] = known[core] + known[tail]
-        return b"".join([known[w] for w in words])
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(STOPS)
+        if core != word and core[-1:].isalpha() and core[-1] < "\u0130":  # later letters may end in a mark, which joins the stop
+            ids = self[core] + self[word[len(core) :]]
+        elif word.isalpha() and max(word) < "\u0130":
+            low = word.lower()
+            plain = word if word.isascii() else word.translate(self.letters)
+            ids = self[low] if low != word else array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def of_text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 memo.register("packing", WordIds.tables.clear)
@@ -110,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
             for lo in range(0, len(batch), 512):
                 rows = []
                 for doc, text in zip(batch["doc_id"].iloc[lo : lo + 512], batch["text"].iloc[lo : lo + 512], strict=True):
-                    whole = ids(text) + tail
+                    whole = ids.of_text(text) + tail
                     doc = None if pd.isna(doc) else int(doc)
                     rows += [(doc, k, k * capacity, min(step, len(whole) - at) // 4, whole[at : at + step]) for k, at in enumerate(range(0, len(whole), step))]
                 made = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])

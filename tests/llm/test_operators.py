@@ -1,5 +1,6 @@
 """Corpus operators on small tables: brute force, round trips, and the awkward cases of each."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -131,6 +132,18 @@ def test_packing(spark, docs, nothing):
     assert packing.sequences(docs.select("doc_id", "text"), path).count() == len(bins)
 
 
+def test_word_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    ids, encode, draw = packing.WordIds(path, most=50), Tokenizer.from_file(path).encode, random.Random(5)
+    letters = list("abcXYZ\u00e9\u00c9\u00dfŁ.,!$#;:?%&*'<|> \n\t09日é\u0130ıſµª\u0958")
+    odd = ["", "  ", "\u0130,", "\u0958.", "don't we'll I'M", "<|endoftext|>x <|startoftext|>.", "...,,, a.b,c .a ,", "Ελλάδα. РУССКИЙ!!", "\u0301a \u200bz\r\n q", "x" * 5000]
+    for text in odd + ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(2000)]:
+        assert ids.of_text(text) == np.asarray(encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    assert len(ids) <= 50
+
+
 def test_histogram_packing():
     draw = np.random.RandomState(1)
     for _ in range(60):
