@@ -66,8 +66,9 @@ def _per_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _discover(spark: SparkSession, d: str) -> DataFrame:
+    """Deviations that leave the cheapest way of any source."""
     devs = index(spark, d).devs
-    active = devs.where("src % 7 = 0").select(F.col("src").alias("id")).distinct()
+    active = _parents(spark, d).select(F.col("src").alias("id")).distinct()
     return bitsets.discover(bitsets.build(devs, row="dst", column="src"), active)
 
 
@@ -215,7 +216,7 @@ SQL: dict[str, str] = {
     "bit_slice_summary": _with(f"{_E}, s AS (SELECT bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY dst // 8, src)", "SELECT count(*) AS slices, CAST(sum(bit_count(mask)) AS BIGINT) AS bits, round(sum(bit_count(mask)) / (count(*) * 8), 6) AS ratio FROM s"),
     "bit_slice_mismatches": _with(_E, "SELECT src, dst FROM edges WHERE false"),
     "deviation_slices": _with(_DEV, "SELECT src // 8 AS interval, dst AS row_id, bit_or(CAST(1 << (src % 8) AS INT)) AS mask FROM devs GROUP BY 1, 2"),
-    "deviation_discovery": _with(_DEV, "SELECT src, dst FROM devs WHERE src % 7 = 0"),
+    "deviation_discovery": _with(_CAND, "SELECT src, dst FROM devs WHERE src IN (SELECT u FROM chain)"),
     "cost_error_one_deviation": _with(_COUNTED, f"SELECT round(sum(abs(n.cost - e.cost) / e.cost * 100) / {K}, 6) AS avg_error_pct, round(max(abs(n.cost - e.cost) / e.cost * 100), 6) AS max_error_pct FROM exact e JOIN near n USING (rank) WHERE e.cost > 0"),
     "prefix_comparison": _with(f"{_COUNTED}, off_by AS (SELECT rank, coalesce(abs(n.cost - e.cost), {2**62}) AS d FROM exact e FULL JOIN near n USING (rank))", "SELECT max(d) AS max_diff, min(rank) FILTER (d > 10) AS first_mismatch, min(rank) FILTER (d > 10) IS NULL AS passed FROM off_by"),
 }
