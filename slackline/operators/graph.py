@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slackline.plans.scratch import Scratch
@@ -80,12 +80,49 @@ def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "w")
 
 
+#: Ids that one task ranks at a time.
+RANGE = 65_536
+
+
+def _before(rows: DataFrame, group: list[str], width: int, n: Column, name: str) -> DataFrame:
+    """group, range, ``name``: the sum of ``n`` over the ranges of ids in front; a row per group and range."""
+    from pyspark.sql import Window
+
+    sums = rows.groupBy(*group, F.floor(F.col("id") / width).alias("range")).agg(n.alias("n"))
+    before = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*group, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(name))
+
+
+def ranked(rows: DataFrame, group: str, width: int = RANGE) -> DataFrame:
+    """``rows(id, group, ...)`` with ``k``: the place of the id inside its group, from 0.
+
+    Ranks come from counts by range of ids and from places inside a range, so no group is sorted
+    in one task, however many vertices it has. Ids are distinct.
+    """
+    from pyspark.sql import Window
+
+    base = _before(rows, [group], width, F.count("*"), "base")
+    within = F.row_number().over(Window.partitionBy(group, "range").orderBy("id")) - 1
+    placed = rows.withColumn("range", F.floor(F.col("id") / width)).withColumn("at", within).join(base, [group, "range"])
+    return placed.withColumn("k", (F.col("base") + F.col("at")).cast("long")).drop("range", "at", "base")
+
+
 def order_by_level(levels: DataFrame) -> DataFrame:
     """id, new_id: dense numbers by (level, id); ranks inside a level, level pointers in front."""
+    return ranked(levels, "level").join(level_pointers(levels), "level").select("id", (F.col("first") + F.col("k")).cast("long").alias("new_id"))
+
+
+def row_offsets(edges: DataFrame, vertices: DataFrame | None = None, width: int = RANGE) -> DataFrame:
+    """id, first, n: where each vertex's edges begin in an edge list sorted by source, and how many there are."""
     from pyspark.sql import Window
 
-    within = F.row_number().over(Window.partitionBy("level").orderBy("id")) - 1
-    return levels.withColumn("k", within).join(level_pointers(levels), "level").select("id", (F.col("first") + F.col("k")).cast("long").alias("new_id"))
+    vertices = vertices_of(edges) if vertices is None else vertices.select("id")
+    n = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    rows = vertices.join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    base = _before(rows, [], width, F.sum("n"), "base")
+    front = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("range", F.floor(F.col("id") / width)).withColumn("at", F.coalesce(F.sum("n").over(front), F.lit(0)))
+    return placed.join(base, "range").select("id", (F.col("base") + F.col("at")).alias("first"), "n")
 
 
 def sized_up(edges: DataFrame, times: int, stride: int) -> DataFrame:
@@ -107,15 +144,29 @@ def densified(edges: DataFrame, levels: DataFrame, degree: float, seed: int = 1)
     if not want or not n:
         return edges
     each = -(-2 * want // n)
-    from pyspark.sql import Window
-
-    slots = levels.withColumn("slot", F.row_number().over(Window.partitionBy("level").orderBy("id")) - 1)
+    slots = ranked(levels, "level").withColumnRenamed("k", "slot")
     sizes = level_histogram(levels).select((F.col("level") + 1).alias("level"), F.col("n").alias("below"))
     draws = levels.join(sizes, "level").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(each))))
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.col("below")).cast("int")).withColumn("level", F.col("level") - 1)
+    draws = draws.withColumn("slot", F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.col("below"))).withColumn("level", F.col("level") - 1)
     new = draws.join(slots.select("level", "slot", F.col("id").alias("dst")), ["level", "slot"]).select(F.col("id").alias("src"), "dst").distinct()
-    new = new.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(want)
-    return edges.unionByName(with_weights(new, seed))
+    new = new.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    new = Scratch(edges.sparkSession, "densify").save(new.withColumn("h", F.xxhash64("src", "dst", F.lit(seed))), "new")
+    return edges.unionByName(with_weights(_first_by_hash(new, want), seed))
+
+
+def _first_by_hash(rows: DataFrame, n: int, ranges: int = RANGE) -> DataFrame:
+    """The n first of ``rows(src, dst, h)`` by hash: whole ranges of hashes, and of the next range its first."""
+    from pyspark.sql import Window
+
+    rows = rows.withColumn("range", F.expr(f"shiftright(h, {65 - ranges.bit_length()})"))
+    counts = rows.groupBy("range").agg(F.count("*").alias("n"))  # at most `ranges` rows
+    ends = counts.withColumn("end", F.sum("n").over(Window.orderBy("range")))
+    cut = ends.where(F.col("end") >= n).orderBy("range").first()
+    if cut is None:
+        return rows.select("src", "dst")
+    rest = n - (cut["end"] - cut["n"])
+    edge = rows.where(F.col("range") == cut["range"]).orderBy("h", "src", "dst").limit(rest)
+    return rows.where(F.col("range") < cut["range"]).unionByName(edge).select("src", "dst")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def compare_prefix(golden: DataFrame, own: DataFrame, k: int, tolerance: int = 1
 
 def paths_per_step(costs: DataFrame, width: int) -> DataFrame:
     """step, n, total: paths by cost window of ``width`` from the cheapest on, and the running sum; a row per step."""
-    low = costs.agg(F.min("cost").alias("low"))
-    steps = costs.join(F.broadcast(low)).groupBy(F.floor((F.col("cost") - F.col("low")) / width).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    low = costs.agg(F.min("cost")).scalar()
+    steps = costs.groupBy(F.floor((F.col("cost") - low) / width).cast("long").alias("step")).agg(F.count("*").alias("n"))
     return steps.withColumn("total", F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -40,9 +40,9 @@ def unvisited(depths: DataFrame) -> DataFrame:
 
 def csr_violations(offsets: DataFrame, targets: DataFrame) -> DataFrame:
     """problem, n of a compressed sparse matrix ``offsets(k, at)``, ``targets(k, id)``: what is not monotone, out of range or of wrong size."""
-    after = F.lead("at").over(Window.orderBy("k"))
     rows = offsets.count() - 1
-    falling = offsets.withColumn("after", after).where("after < at").select(F.lit("falling").alias("problem"))
+    after = offsets.select((F.col("k") - 1).alias("k"), F.col("at").alias("after"))
+    falling = offsets.join(after, "k").where("after < at").select(F.lit("falling").alias("problem"))
     strange = targets.where((F.col("id") < 0) | (F.col("id") >= rows)).select(F.lit("out_of_range").alias("problem"))
     ends = offsets.agg(F.min_by("at", "k").alias("lo"), F.max_by("at", "k").alias("hi"))
     size = targets.agg(F.count("*").alias("m"))
@@ -50,6 +50,23 @@ def csr_violations(offsets: DataFrame, targets: DataFrame) -> DataFrame:
     return falling.union(strange).union(wrong).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def gate(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """n_vertices, n_edges and counts of what a suffix tree must not have, in one row.
+
+    ``bad_sinks``: no successor, yet a distance or level other than 0; ``bad_levels``: edges that
+    don't go down; ``not_least``: edges that would shorten a way; ``bad_successors``: distances
+    that the edge to the successor doesn't give.
+    """
+    a = tree.select(F.col("id").alias("src"), F.col("dist").alias("ds"), F.col("level").alias("ls"), "succ")
+    b = tree.select(F.col("id").alias("dst"), F.col("dist").alias("dd"), F.col("level").alias("ld"))
+    e = edges.join(a, "src").join(b, "dst").agg(
+        F.count("*").alias("n_edges"), F.count_if(F.col("ls") <= F.col("ld")).alias("bad_levels"), F.count_if(F.expr("ds > w + dd")).alias("not_least"),
+        F.count_if(F.expr("dst <=> succ AND ds <> w + dd")).alias("bad_successors"),
+    )
+    v = tree.agg(F.count("*").alias("n_vertices"), F.count_if(F.expr("succ IS NULL AND (dist <> 0 OR level <> 0)")).alias("bad_sinks"))
+    return v.withColumn("j", F.lit(0)).join(e.withColumn("j", F.lit(0)), "j").drop("j")
+
+
 def conflicting_successors(hops: DataFrame) -> DataFrame:
     """src with more than one successor in ``hops(src, succ)``."""
     return hops.groupBy("src").agg(F.count_distinct("succ").alias("n")).where("n > 1")

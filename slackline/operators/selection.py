@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.functions.candidates import classify
+from slackline.operators.graph import ranked
 
 
 def candidates(parents: DataFrame, families: DataFrame, at_most: int | None = None) -> DataFrame:
@@ -35,6 +36,12 @@ def family_counts(parents: DataFrame, families: DataFrame, split: int, final: in
     )
 
 
+def source_counts(parents: DataFrame, families: DataFrame, split: int, final: int) -> DataFrame:
+    """src, n_short, n_long, n_skip, total over the candidates of each source."""
+    per = families.select("family_id", "src").join(family_counts(parents, families, split, final), "family_id")
+    return per.groupBy("src").agg(*(F.sum(c).alias(c) for c in ("n_short", "n_long", "n_skip", "total")))
+
+
 _ORDER = ("cost", "parent_id", "family_id", "dst")
 
 
@@ -45,8 +52,8 @@ def first_n(made: DataFrame, n: int) -> DataFrame:
 
 def first_n_with_ties(made: DataFrame, n: int) -> DataFrame:
     """The n first and whatever costs as much as the n-th: a bounded top-n gives the cost, a filter the rows."""
-    last = made.select("cost").orderBy("cost").limit(n).agg(F.max("cost").alias("last"))
-    return made.join(F.broadcast(last), made["cost"] <= last["last"]).drop("last")  # one row
+    last = made.select("cost").orderBy("cost").limit(n).agg(F.max("cost")).scalar()
+    return made.where(F.col("cost") <= last)
 
 
 def under(made: DataFrame, threshold: int) -> DataFrame:
@@ -76,7 +83,8 @@ def in_source_order(parents: DataFrame) -> DataFrame:
 
 def source_slots(rows: DataFrame) -> DataFrame:
     """src, slot: dense numbers of the distinct sources, from 0; a row per source."""
-    return rows.select("src").distinct().withColumn("slot", F.dense_rank().over(Window.orderBy("src")) - 1)
+    distinct = rows.select(F.col("src").alias("id"), F.lit(0).alias("all")).distinct()
+    return ranked(distinct, "all").select(F.col("id").alias("src"), F.col("k").alias("slot"))
 
 
 def tile_stats(per_source: DataFrame) -> DataFrame:

@@ -84,6 +84,39 @@ def _prefix_compare(spark: SparkSession, d: str) -> DataFrame:
     return got.select("max_diff", "first_mismatch", "passed")
 
 
+def _tile_audit(spark: SparkSession, d: str) -> DataFrame:
+    """How many sources fall into each class by their bounds and by their counts."""
+    n = selection.source_counts(_parents(spark, d), _families(spark, d), SPLIT, FINAL)
+    n = n.select("src", C.tile_class_of_counts(F.col("n_short"), F.col("n_long"), F.col("n_skip"), F.col("total")).alias("by_counts"))
+    return _tile_classes(spark, d).select("src", F.col("tile_class").alias("by_bounds")).join(n, "src").groupBy("by_bounds", "by_counts").agg(F.count("*").alias("n"))
+
+
+def _dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Sources and candidates by the reason why tiles are, or are not, worth it."""
+    n = selection.source_counts(_parents(spark, d), _families(spark, d), SPLIT, FINAL).join(_per_source(spark, d), "src")
+    room = C.tile_count(F.col("parents"), F.col("families"), F.lit(8), F.lit(2)) * 16
+    of = n.select("total", C.dispatch(F.col("total"), F.col("n_short") + F.col("n_long"), room, min_products=20, min_fill=0.5, max_exact=0.05).alias("s"))
+    return of.groupBy("s.dispatch", "s.reason").agg(F.count("*").alias("sources"), F.sum("total").alias("products"), F.sum("s.rejected").alias("rejected"))
+
+
+def _tree_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the suffix tree looked up both ways round: one way is there, the other is not."""
+    i = index(spark, d)
+    down = i.tree.where("succ is not null").select(F.col("id").alias("src"), F.col("succ").alias("dst"))
+    numbered = i.edges.withColumn("edge_id", F.col("src") * 1_000_000_000 + F.col("dst"))
+    return selection.edge_lookup(down.unionByName(down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), numbered)
+
+
+def _active(spark: SparkSession, d: str) -> DataFrame:
+    """Slices of the graph that reach the sinks, with the bits they share."""
+    edges = derived.edges(spark, d)
+    return bitsets.active_slices(bitsets.build(edges), bitsets.frontier(graph.sinks(edges))).select("interval", "row_id", "hit")
+
+
+def _increment(spark: SparkSession, d: str) -> DataFrame:
+    return _graph_stats(spark, d).select(F.round(C.split_increment(F.col("n_edges") / F.col("n_vertices")), 6).alias("split_increment"))
+
+
 QUERIES: dict[str, Query] = {
     "edges": lambda s, d: derived.edges(s, d),
     "sources": lambda s, d: graph.sources(derived.edges(s, d)),
@@ -124,6 +157,18 @@ QUERIES: dict[str, Query] = {
     "deviation_discovery": _discover,
     "cost_error_one_deviation": _prefix_error,
     "prefix_comparison": _prefix_compare,
+    "row_offsets": lambda s, d: graph.row_offsets(derived.edges(s, d)),
+    "deviation_offsets": lambda s, d: graph.row_offsets(index(s, d).devs, index(s, d).tree),
+    "dists_in_level_order": lambda s, d: graph.order_by_level(_levels(s, d)).join(index(s, d).tree, "id").select("new_id", "dist"),
+    "gate_counts": lambda s, d: metrics.gate(index(s, d).edges, index(s, d).tree),
+    "edge_lookup": _tree_edges,
+    "paths_per_vertex": lambda s, d: paths.candidate_paths(index(s, d), K).groupBy("last").agg(F.count("*").alias("n")),
+    "slice_chunks": lambda s, d: bitsets.pack(bitsets.build(derived.edges(s, d))),
+    "active_slices": _active,
+    "pulled_vertices": lambda s, d: bitsets.pull_step(bitsets.build(derived.edges(s, d)), graph.sinks(derived.edges(s, d)), graph.sinks(derived.edges(s, d))),
+    "tile_audit": _tile_audit,
+    "tile_dispatch": _dispatch,
+    "split_increment": _increment,
 }
 
 _E = derived.EDGES_SQL
@@ -162,6 +207,14 @@ walk(v, cost, level, path) AS (SELECT id, CAST(0 AS BIGINT), 0, CAST(id AS VARCH
   UNION ALL SELECT m.dst, p.cost + m.w, p.level + m.off, p.path || '-' || m.dst FROM walk p JOIN marked m ON m.src = p.v),
 named AS (SELECT cost, level, path FROM walk WHERE v IN (SELECT id FROM snk))"""
 
+#: Paths with their deviations as text, as the engine orders ties.
+_KEYED = f"""{_TREE}, marked AS (SELECT e.src, e.dst, e.w, t.succ IS DISTINCT FROM e.dst AS off FROM edges e JOIN tree t ON t.id = e.src),
+trail(v, source, cost, level, devs, up, from_v, to_v) AS (SELECT id, id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', CAST(-1 AS BIGINT), id FROM vertices WHERE id NOT IN (SELECT dst FROM edges)
+  UNION ALL SELECT m.dst, p.source, p.cost + m.w, p.level + CAST(off AS INT), CASE WHEN off THEN p.devs || CASE WHEN p.devs = '' THEN '' ELSE ',' END || '{{"u":' || m.src || ',"v":' || m.dst || '}}' ELSE p.devs END,
+    CASE WHEN off THEN p.devs ELSE p.up END, CASE WHEN off THEN m.src ELSE p.from_v END, CASE WHEN off THEN m.dst ELSE p.to_v END FROM trail p JOIN marked m ON m.src = p.v),
+ended AS MATERIALIZED (SELECT * FROM trail WHERE v IN (SELECT id FROM snk)),
+nodes AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cost, level, '{{"source":' || source || ',"devs":[' || devs || ']}}') - 1 AS node_id FROM ended QUALIFY node_id < {K})"""
+
 
 def _with(ctes: str, query: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{query}"
@@ -219,4 +272,21 @@ SQL: dict[str, str] = {
     "deviation_discovery": _with(_CAND, "SELECT src, dst FROM devs WHERE src IN (SELECT u FROM chain)"),
     "cost_error_one_deviation": _with(_COUNTED, f"SELECT round(sum(abs(n.cost - e.cost) / e.cost * 100) / {K}, 6) AS avg_error_pct, round(max(abs(n.cost - e.cost) / e.cost * 100), 6) AS max_error_pct FROM exact e JOIN near n USING (rank) WHERE e.cost > 0"),
     "prefix_comparison": _with(f"{_COUNTED}, off_by AS (SELECT rank, coalesce(abs(n.cost - e.cost), {2**62}) AS d FROM exact e FULL JOIN near n USING (rank))", "SELECT max(d) AS max_diff, min(rank) FILTER (d > 10) AS first_mismatch, min(rank) FILTER (d > 10) IS NULL AS passed FROM off_by"),
+    "row_offsets": _with(f"{_E}, {_V}, n AS (SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
+    "deviation_offsets": _with(f"{_DEV}, n AS (SELECT id, (SELECT count(*) FROM devs WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
+    "dists_in_level_order": _with(_TREE, "SELECT row_number() OVER (ORDER BY level, id) - 1 AS new_id, dist FROM topo JOIN tree USING (id)"),
+    "gate_counts": _with(_E + ", " + _V, "SELECT (SELECT count(*) FROM vertices) AS n_vertices, (SELECT count(*) FROM edges) AS n_edges, CAST(0 AS BIGINT) AS bad_sinks, CAST(0 AS BIGINT) AS bad_levels, CAST(0 AS BIGINT) AS not_least, CAST(0 AS BIGINT) AS bad_successors"),
+    "edge_lookup": _with(_TREE, "SELECT src, dst, src * 1000000000 + dst AS edge_id, w FROM edges JOIN tree ON id = src AND succ = dst UNION ALL SELECT succ, id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM tree WHERE succ IS NOT NULL"),
+    "paths_per_vertex": _with(_KEYED, f"SELECT to_v AS last, count(*) AS n FROM (SELECT to_v FROM ended QUALIFY rank() OVER (ORDER BY cost) <= {K}) GROUP BY 1"),
+    "path_nodes": _with(_KEYED, "SELECT a.node_id, a.level, a.from_v, a.to_v, coalesce(p.node_id, -1) AS parent, (SELECT count(*) FROM nodes c WHERE c.level > 0 AND c.source = a.source AND c.up = a.devs) AS n_children, a.cost AS slack FROM nodes a LEFT JOIN nodes p ON a.level > 0 AND p.source = a.source AND p.devs = a.up"),
+    "slice_chunks": _with(f"{_E}, s AS (SELECT dst // 8 AS interval, src AS row_id, bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY interval ORDER BY row_id) - 1 AS INT) AS k FROM s)", "SELECT interval, CAST(k // 128 AS INT) AS chunk, CAST(k % 128 AS INT) AS slot, CAST(k % 32 AS INT) AS lane, row_id, mask FROM k"),
+    "active_slices": _with(_UP, "SELECT dst // 8 AS interval, src AS row_id, bit_or(CAST(1 << (dst % 8) AS INT)) AS hit FROM edges WHERE dst IN (SELECT id FROM snk) GROUP BY 1, 2"),
+    "pulled_vertices": _with(_UP, "SELECT DISTINCT src AS id FROM edges WHERE dst IN (SELECT id FROM snk)"),
+    "tile_audit": _with(_CAND, f"""SELECT CASE WHEN hi <= {SPLIT} THEN 'ALL_SHORT' WHEN lo > {SPLIT} AND hi <= {FINAL} THEN 'ALL_LONG' WHEN lo > {SPLIT} AND lo > {FINAL} THEN 'ALL_SKIP' ELSE 'MIXED' END AS by_bounds,
+  CASE WHEN skip = total THEN 'ALL_SKIP' WHEN short = total THEN 'ALL_SHORT' WHEN short = 0 AND skip = 0 THEN 'ALL_LONG' ELSE 'MIXED' END AS by_counts, count(*) AS n
+  FROM (SELECT src, min(cost) AS lo, max(cost) AS hi, count(*) FILTER ({_SHORT}) AS short, count(*) FILTER ({_LATE}) AS skip, count(*) AS total FROM made GROUP BY src) GROUP BY 1, 2"""),
+    "tile_dispatch": _with(_CAND, f"""SELECT reason = 'selected' AS dispatch, reason, count(*) AS sources, CAST(sum(total) AS BIGINT) AS products, CAST(sum(total - exact) AS BIGINT) AS rejected FROM (
+  SELECT *, CASE WHEN total < 20 THEN 'too_few_products' WHEN total / (ceil(np / 8) * ceil(nf / 2) * 16) < 0.5 THEN 'low_tile_fill' WHEN exact / total > 0.05 THEN 'high_exact_fraction' ELSE 'selected' END AS reason
+  FROM (SELECT src, count(*) AS total, count(*) FILTER (NOT {_LATE}) AS exact, count(DISTINCT parent_id) AS np, count(DISTINCT family_id) AS nf FROM made GROUP BY src)) GROUP BY 1, 2"""),
+    "split_increment": _with(f"{_E}, {_V}", "SELECT round(0.1 + 99.9 / (1 + exp(0.8 * ((SELECT count(*) FROM edges) / (SELECT count(*) FROM vertices) - 3))), 6) AS split_increment"),
 }

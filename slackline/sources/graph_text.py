@@ -112,6 +112,7 @@ def dumps(edges: DataFrame, tree: DataFrame) -> dict[str, DataFrame]:
         "successors": tree.select("id", F.coalesce("succ", F.lit(-1)).alias("succ"), "dist"),
         "levels": tree.select("id", "level"),
         "level_order": tree.orderBy("level", "id").select("id"),
+        "dists_in_level_order": tree.orderBy("level", "id").select(decimals("dist").alias("dist")),
         "level_sizes": level_pointers(tree.select("id", "level")),
     }
 

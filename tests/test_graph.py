@@ -141,6 +141,38 @@ def test_bit_slices(spark):
     assert sorted(map(tuple, bitsets.discover(devs, spark.range(3)).collect())) == [(0, 1), (2, 9)]
 
 
+def test_ranks_and_offsets_by_range(spark):
+    rows = [(v, v % 3) for v in range(0, 90, 2)]
+    got = {r["id"]: r["k"] for r in graph.ranked(spark.createDataFrame(rows, "id long, level int"), "level", width=8).collect()}
+    assert got == {v: sum(u < v for u, g in rows if g == level) for v, level in rows}
+    edges = frame(spark, [(0, 1, 0), (0, 30, 0), (9, 30, 0), (17, 30, 0)])
+    got = {r["id"]: (r["first"], r["n"]) for r in graph.row_offsets(edges, spark.range(31), width=4).collect()}
+    assert got == {v: (2 * (v > 0) + (v > 9) + (v > 17), {0: 2, 9: 1, 17: 1}.get(v, 0)) for v in range(31)}
+    assert graph.row_offsets(frame(spark, [])).isEmpty()
+
+
+def test_densified(spark):
+    vertices, edges = spark.range(60), frame(spark, [(v + 20, v, 5) for v in range(40)])
+    levels = suffix_tree(edges, vertices).select("id", "level")
+    made = graph.densified(edges, levels, 1.5).collect()
+    assert len(made) == len({(r["src"], r["dst"]) for r in made}) == 90
+    assert all(r["src"] // 20 - r["dst"] // 20 == 1 for r in made)
+    assert sorted(map(tuple, made)) == sorted(map(tuple, graph.densified(edges.repartition(3), levels, 1.5).collect()))
+    assert graph.densified(edges, levels, 0.1).count() == 40
+
+
+def test_gates(spark):
+    edges = frame(spark, FIVE)
+    tree = suffix_tree(edges)
+    assert tuple(metrics.gate(edges, tree).first()) == (5, 0, 5, 0, 0, 0)
+    worse = tree.selectExpr("id", "level", "if(id = 0, dist + 1, dist) AS dist", "succ")
+    assert tuple(metrics.gate(edges, worse).first()) == (5, 0, 5, 0, 1, 1)
+    at = lambda xs: spark.createDataFrame(list(enumerate(xs)), "k long, at long")
+    to = spark.createDataFrame([(0,), (1,), (7,)], "id long")
+    assert sorted(map(tuple, metrics.csr_violations(at([0, 2, 1, 3]), to).collect())) == [("falling", 1), ("out_of_range", 1)]
+    assert metrics.csr_violations(at([0, 1, 2, 3]), to.where("id < 7").union(spark.range(1))).isEmpty()
+
+
 def test_selection_literals(spark):
     parents = spark.createDataFrame([(k, 0, c) for k, c in enumerate((5000, 7500, 10000, 12500, 20000, 35000))], "parent_id long, src long, cost long")
     families = spark.createDataFrame([(0, 0, 1, 2500)], "family_id long, src long, dst long, delta long")

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["edges", "degrees", "suffix_tree", "deviations", "topk_paths", "topk_paths_with_ties", "family_counts", "tile_stats", "deviation_discovery", "prefix_comparison"])
+@pytest.mark.parametrize("name", ["edges", "degrees", "suffix_tree", "deviations", "topk_paths", "topk_paths_with_ties", "family_counts", "tile_stats", "deviation_discovery", "prefix_comparison", "path_nodes", "row_offsets", "paths_per_vertex", "tile_audit", "edge_lookup"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
