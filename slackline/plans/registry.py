@@ -30,17 +30,25 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
-    """Path nodes of no or one deviation, as parents at the vertices of their ways."""
+    """Path nodes of no deviation, as parents at the vertices of their ways: the first expansion step alone."""
     i = index(spark, d)
     return i.roots.join(i.chains.select("id", "u"), "id").select(F.col("id").alias("parent_id"), F.col("u").alias("src"), F.col("dist").alias("cost"))
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Path nodes of no or one deviation, as parents at the vertices of their last ways; ids tell source and deviation."""
+    i = index(spark, d)
+    none = i.roots.join(i.chains.select("id", "u"), "id").select(F.col("id").cast("string").alias("parent_id"), F.col("u").alias("src"), F.col("dist").alias("cost"))
+    one = none.join(i.devs.select("src", "dst", "delta"), "src").select(F.concat_ws("-", "parent_id", "src", "dst").alias("parent_id"), F.col("dst").alias("id"), (F.col("cost") + F.col("delta")).alias("cost"))
+    return none.unionByName(one.join(i.chains.select("id", F.col("u").alias("src")), "id").drop("id"))
+
+
 def _families(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d).devs.select((F.col("src") * 1_000_000_000 + F.col("dst")).alias("family_id"), "src", "dst", "delta")
 
 
-def _made(spark: SparkSession, d: str) -> DataFrame:
-    return selection.candidates(_parents(spark, d), _families(spark, d))
+def _made(spark: SparkSession, d: str, parents: Query = _parents) -> DataFrame:
+    return selection.candidates(parents(spark, d), _families(spark, d))
 
 
 SPLIT, FINAL = 500_000, 5_000_000
@@ -51,17 +59,17 @@ def _graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_stats(i.edges, _levels(spark, d))
 
 
-def _tile_classes(spark: SparkSession, d: str) -> DataFrame:
+def _tile_classes(spark: SparkSession, d: str, parents: Query = _parents) -> DataFrame:
     f = _families(spark, d).groupBy("src").agg(F.min("delta").alias("dl"), F.max("delta").alias("dh"), F.count("*").alias("families"))
-    p = _parents(spark, d).groupBy("src").agg(F.min("cost").alias("pl"), F.max("cost").alias("ph"), F.count("*").alias("parents"))
+    p = parents(spark, d).groupBy("src").agg(F.min("cost").alias("pl"), F.max("cost").alias("ph"), F.count("*").alias("parents"))
     low, high, t, f_ = F.col("pl") + F.col("dl"), F.col("ph") + F.col("dh"), F.lit(True), F.lit(False)
     of = C.tile_class_of_bounds(low, high, F.lit(SPLIT), F.lit(FINAL), t, f_)
     short = C.short_only_class(F.col("pl"), F.col("ph"), F.col("dl"), F.col("dh"), F.lit(SPLIT))
     return f.join(p, "src").select("src", of.alias("tile_class"), short.alias("short_class"), C.tile_count(F.col("parents"), F.col("families"), F.lit(32), F.lit(16)).alias("tiles"))
 
 
-def _per_source(spark: SparkSession, d: str) -> DataFrame:
-    p = _parents(spark, d).groupBy("src").agg(F.count("*").alias("parents"))
+def _per_source(spark: SparkSession, d: str, parents: Query = _parents) -> DataFrame:
+    p = parents(spark, d).groupBy("src").agg(F.count("*").alias("parents"))
     return p.join(_families(spark, d).groupBy("src").agg(F.count("*").alias("families")), "src")
 
 
@@ -72,6 +80,12 @@ def _discover(spark: SparkSession, d: str) -> DataFrame:
     return bitsets.discover(bitsets.build(devs, row="dst", column="src"), active)
 
 
+def _discover_all(spark: SparkSession, d: str) -> DataFrame:
+    """Deviations found with every vertex that has one active."""
+    devs = index(spark, d).devs
+    return bitsets.discover(bitsets.build(devs, row="dst", column="src"), devs.select(F.col("src").alias("id")).distinct())
+
+
 def _prefix_error(spark: SparkSession, d: str) -> DataFrame:
     """The approximation of at most one deviation against the exact costs."""
     i = index(spark, d)
@@ -84,16 +98,16 @@ def _prefix_compare(spark: SparkSession, d: str) -> DataFrame:
     return got.select("max_diff", "first_mismatch", "passed")
 
 
-def _tile_audit(spark: SparkSession, d: str) -> DataFrame:
+def _tile_audit(spark: SparkSession, d: str, parents: Query = _parents) -> DataFrame:
     """How many sources fall into each class by their bounds and by their counts."""
-    n = selection.source_counts(_parents(spark, d), _families(spark, d), SPLIT, FINAL)
+    n = selection.source_counts(parents(spark, d), _families(spark, d), SPLIT, FINAL)
     n = n.select("src", C.tile_class_of_counts(F.col("n_short"), F.col("n_long"), F.col("n_skip"), F.col("total")).alias("by_counts"))
-    return _tile_classes(spark, d).select("src", F.col("tile_class").alias("by_bounds")).join(n, "src").groupBy("by_bounds", "by_counts").agg(F.count("*").alias("n"))
+    return _tile_classes(spark, d, parents).select("src", F.col("tile_class").alias("by_bounds")).join(n, "src").groupBy("by_bounds", "by_counts").agg(F.count("*").alias("n"))
 
 
-def _dispatch(spark: SparkSession, d: str) -> DataFrame:
+def _dispatch(spark: SparkSession, d: str, parents: Query = _parents) -> DataFrame:
     """Sources and candidates by the reason why tiles are, or are not, worth it."""
-    n = selection.source_counts(_parents(spark, d), _families(spark, d), SPLIT, FINAL).join(_per_source(spark, d), "src")
+    n = selection.source_counts(parents(spark, d), _families(spark, d), SPLIT, FINAL).join(_per_source(spark, d, parents), "src")
     room = C.tile_count(F.col("parents"), F.col("families"), F.lit(8), F.lit(2)) * 16
     of = n.select("total", C.dispatch(F.col("total"), F.col("n_short") + F.col("n_long"), room, min_products=20, min_fill=0.5, max_exact=0.05).alias("s"))
     return of.groupBy("s.dispatch", "s.reason").agg(F.count("*").alias("sources"), F.sum("total").alias("products"), F.sum("s.rejected").alias("rejected"))
@@ -169,6 +183,19 @@ QUERIES: dict[str, Query] = {
     "tile_audit": _tile_audit,
     "tile_dispatch": _dispatch,
     "split_increment": _increment,
+    # The same over path nodes of no or one deviation, and over all vertices with deviations.
+    "node_candidates": lambda s, d: _made(s, d, _nodes).select("parent_id", "src", "dst", "cost"),
+    "node_candidate_classes": lambda s, d: selection.class_counts(_made(s, d, _nodes), SPLIT, FINAL),
+    "node_candidates_under_split": lambda s, d: selection.candidates(_nodes(s, d), _families(s, d), SPLIT).select("parent_id", "src", "dst", "cost"),
+    "node_candidates_first_with_ties": lambda s, d: selection.first_n_with_ties(_made(s, d, _nodes), 200).select("parent_id", "src", "dst", "cost"),
+    "node_family_counts": lambda s, d: selection.family_counts(_nodes(s, d), _families(s, d), SPLIT, FINAL),
+    "node_pile_summary": lambda s, d: selection.pile_summary(_made(s, d, _nodes), SPLIT),
+    "node_parent_order": lambda s, d: selection.in_source_order(_nodes(s, d)).select("parent_id", "src", "cost", F.col("k").cast("long").alias("k")),
+    "node_tile_classes": lambda s, d: _tile_classes(s, d, _nodes),
+    "node_tile_stats": lambda s, d: selection.tile_stats(_per_source(s, d, _nodes)),
+    "node_tile_audit": lambda s, d: _tile_audit(s, d, _nodes),
+    "node_tile_dispatch": lambda s, d: _dispatch(s, d, _nodes),
+    "node_deviation_discovery": _discover_all,
 }
 
 _E = derived.EDGES_SQL
@@ -190,6 +217,14 @@ chain(root, cost, u) AS (SELECT s.id, t.dist, s.id FROM src0 s JOIN tree t ON t.
 parents AS (SELECT root AS parent_id, u AS src, cost FROM chain),
 families AS (SELECT src * 1000000000 + dst AS family_id, src, dst, delta FROM devs),
 made AS (SELECT p.parent_id, f.family_id, p.src, f.dst, p.cost + f.delta AS cost FROM parents p JOIN families f ON f.src = p.src)"""
+#: Nodes of no or one deviation by walking the edges: ``way`` are the vertices from the last deviation on, ``cost`` is known at the sink.
+_NODE = f"""{_DEV}, marked AS (SELECT e.src, e.dst, e.w, t.succ IS DISTINCT FROM e.dst AS off FROM edges e JOIN tree t ON t.id = e.src),
+hike(v, cost, level, name, way) AS (SELECT id, CAST(0 AS BIGINT), 0, CAST(id AS VARCHAR), [id] FROM vertices WHERE id NOT IN (SELECT dst FROM edges)
+  UNION ALL SELECT m.dst, h.cost + m.w, h.level + CAST(m.off AS INT), CASE WHEN m.off THEN h.name || '-' || m.src || '-' || m.dst ELSE h.name END, CASE WHEN m.off THEN [m.dst] ELSE list_append(h.way, m.dst) END
+  FROM hike h JOIN marked m ON m.src = h.v WHERE h.level + CAST(m.off AS INT) <= 1),
+parents AS MATERIALIZED (SELECT name AS parent_id, unnest(way) AS src, cost FROM hike WHERE v IN (SELECT id FROM snk)),
+families AS (SELECT src * 1000000000 + dst AS family_id, src, dst, delta FROM devs),
+made AS (SELECT p.parent_id, f.family_id, p.src, f.dst, p.cost + f.delta AS cost FROM parents p JOIN families f ON f.src = p.src)"""
 _ALL = f"""{_E}, {_V},
 full_paths(v, cost, path) AS (SELECT id, CAST(0 AS BIGINT), CAST(id AS VARCHAR) FROM vertices WHERE id NOT IN (SELECT dst FROM edges)
   UNION ALL SELECT e.dst, p.cost + e.w, p.path || '-' || e.dst FROM full_paths p JOIN edges e ON e.src = p.v),
@@ -290,3 +325,6 @@ SQL: dict[str, str] = {
   FROM (SELECT src, count(*) AS total, count(*) FILTER (NOT {_LATE}) AS exact, count(DISTINCT parent_id) AS np, count(DISTINCT family_id) AS nf FROM made GROUP BY src)) GROUP BY 1, 2"""),
     "split_increment": _with(f"{_E}, {_V}", "SELECT round(0.1 + 99.9 / (1 + exp(0.8 * ((SELECT count(*) FROM edges) / (SELECT count(*) FROM vertices) - 3))), 6) AS split_increment"),
 }
+for _n in [n.removeprefix("node_") for n in QUERIES if n.startswith("node_")]:
+    SQL[f"node_{_n}"] = SQL[_n].replace(_CAND.strip(), _NODE.strip())
+SQL["node_deviation_discovery"] = _with(_DEV, "SELECT src, dst FROM devs")

@@ -20,3 +20,18 @@ def test_same_as_sql(spark, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n.startswith("node_")])
+def test_nodes_same_as_sql(spark, name):
+    test_same_as_sql(spark, name)
+
+
+def test_nodes_hold_one_deviation(spark):
+    i = registry.index(spark, DATA)
+    met = i.roots.join(i.chains.select("id", "u"), "id").join(i.devs.withColumnRenamed("src", "u"), "u").count()
+    got = registry.QUERIES["node_parent_order"](spark, DATA).select("parent_id").distinct().collect()
+    assert met > 0
+    assert sum(r["parent_id"].count("-") == 2 for r in got) == met
+    assert sum("-" not in r["parent_id"] for r in got) == i.roots.count()
+    assert registry.QUERIES["node_deviation_discovery"](spark, DATA).count() == i.devs.count()
