@@ -7,12 +7,17 @@ cycle into range) gives the surrogate P'(P(x) + 1), P' undoing P: never x itself
 the same wherever the entity occurs. So format and script match, distinct entities stay distinct
 and mentions of one stay together, with no table to share between tasks. Constraints (a card
 number's check digit, a listed given name of one gender, a private address) are kept by walking on
-until the constraint holds as it did before, which is one to one again. ``collisions`` checks all
-of it over a whole corpus.
+until the constraint holds as it did before, which is one to one again. A given name's gender is
+that of the list it is on, whatever the form of address, so a name has one surrogate under each;
+names on no list go to names on no list. A name found behind a form of address is rewritten
+wherever it stands in the same text as a word of its own (single letters aside). ``collisions``
+checks all of it over a whole corpus; op9 runs it and takes another key if anything collides.
 
 Defined cases: null text stays null with no entities, empty text likewise; repeated rows are
 rewritten each, alike; a null doc_id is carried; an empty table gives nothing; other columns are
-carried by ``pseudonymise``; an entity whose shape has a single member (nothing to change) stays.
+carried by ``pseudonymise``; an entity whose shape has a single member (nothing to change) stays;
+addresses that differ in leading zeros only are one; a name met both as given name and as surname
+has a surrogate as each, and stands by itself as what it was met as first.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slackline.plans.scratch import Scratch
+
 KEY = b"slackline-demonstration-key"
 
 #: Given names by gender.
@@ -49,6 +56,7 @@ PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), lambda t: "-" in t),
 ]
 _NAME = re.compile(r"\b(?i:(mrs?|ms|miss|herr|frau|madame|monsieur|señora?|dr))\.? ([^\W\d_]+)(?: ([^\W\d_]+))?")
+_WORD = re.compile(r"\b[^\W\d_]{2,}\b")
 _DIGIT = re.compile(r"\d")
 
 
@@ -123,14 +131,15 @@ def _ipv4(text: str, key: bytes) -> str:
             return fixed + ".".join(map(str, octets))
 
 
-def _given(name: str, gender: str, key: bytes) -> str:
-    listed = GIVEN.get(gender, [])
-    if name in listed:
-        return listed[shifted(listed.index(name), len(listed), hashlib.blake2b(f"given {gender}".encode(), key=key, digest_size=32).digest())]
-    return reshape(name, key, f"given {gender}", lambda t: t in listed)
+def _given(name: str, key: bytes) -> str:
+    for gender, listed in GIVEN.items():
+        if name in listed:
+            return listed[shifted(listed.index(name), len(listed), hashlib.blake2b(f"given {gender}".encode(), key=key, digest_size=32).digest())]
+    return reshape(name, key, "given", lambda t: any(t in listed for listed in GIVEN.values()))
 
 
 def surrogate(kind: str, text: str, key: bytes = KEY, gender: str = "") -> str:
+    """``gender``, which a form of address tells, changes nothing: an entity has one surrogate wherever it occurs."""
     if kind == "ipv4":
         return _ipv4(text, key)
     if kind == "card":
@@ -145,7 +154,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY, gender: str = "") -> str:
         head, _, tld = text.rpartition(".")
         return reshape(head, key, kind) + "." + tld
     if kind == "given":
-        return _given(text, gender, key)
+        return _given(text, key)
     return reshape(text, key, kind)
 
 
@@ -168,6 +177,13 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(3), "surname", ""))
         else:
             found.append((*m.span(2), "surname", ""))
+    names: dict[str, tuple[str, str]] = {}
+    for lo, hi, kind, gender in found:
+        if kind in ("given", "surname"):
+            names.setdefault(text[lo:hi], (kind, gender))
+    if names:
+        met = {e[0] for e in found if e[2] in ("given", "surname")}
+        found += [(*m.span(), *names[m[0]]) for m in _WORD.finditer(text) if m[0] in names and m.start() not in met]
     found.sort(key=lambda e: (e[0], -e[1]))
     out: list[tuple[int, int, str, str]] = []
     for e in found:
@@ -203,12 +219,30 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def collisions(rewritten: DataFrame) -> DataFrame:
-    """kind, surrogate, n of every surrogate that stands for several entities or for itself; empty if all is well."""
-    each = rewritten.select(F.explode("entities").alias("e")).select("e.*").groupBy("kind", "entity", "surrogate").agg(F.count("*").alias("mentions"))
-    return each.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max((F.col("entity") == F.col("surrogate")).cast("int")).alias("self")).where("n > 1 or self = 1")
+    """kind, surrogate, n of every surrogate that stands for several entities or for itself, or for one that has others; empty if all is well."""
+    same = F.when(F.col("e.kind") == "ipv4", F.regexp_replace("e.entity", r"(^|\.)0+(?=\d)", "$1")).otherwise(F.col("e.entity"))
+    each = rewritten.select(F.explode("entities").alias("e")).select("e.kind", same.alias("entity"), "e.surrogate").groupBy("kind", "entity", "surrogate").agg(F.count("*").alias("mentions"))
+    several = each.groupBy("kind", "entity").agg(F.count("*").alias("n"), F.min("surrogate").alias("surrogate")).where("n > 1").select("kind", "surrogate", "n", F.lit(0).alias("self"))
+    shared = each.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.max((F.col("entity") == F.col("surrogate")).cast("int")).alias("self")).where("n > 1 or self = 1")
+    return shared.unionByName(several)
+
+
+def checked(docs: DataFrame, key: bytes = KEY, tries: int = 4) -> DataFrame:
+    """``pseudonymise`` as a written table in which nothing collides: while something does, all is rewritten under another key.
+
+    An entity of a single-member shape stands for itself under any key and doesn't count. Raises if every key collides.
+    """
+    scratch = Scratch(docs.sparkSession, "pii")
+    for k in range(tries):
+        made = scratch.save(pseudonymise(docs, key), f"made{k}")
+        if collisions(made).where("n > 1").isEmpty():
+            return made
+        scratch.drop(f"made{k}")
+        key = hashlib.blake2b(b"next", key=key, digest_size=32).digest()
+    raise ValueError(f"surrogates collide under {tries} keys")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (rewritten), n_entities, kinds of every document."""
-    made = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    made = checked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return made.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("entities.kind")).alias("kinds"))

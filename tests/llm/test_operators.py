@@ -285,3 +285,34 @@ def test_pipeline_stages(spark, docs, tmp_path):
         now = spark.read.parquet(f"{tmp_path}/{k}")
         assert now.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= now.count() > 0
+
+
+def test_pii_names(spark):
+    text = "Dr Anna Meyer met Frau Anna Meyer. Anna left, Meyer stayed, Annabel too; Mr Ben Low, Dr Ben Low, Mrs Ben Low."
+    made = pii.rewrite(text)
+    of = {(k, e): set() for k, e, _ in made[1]}
+    for k, e, s in made[1]:
+        of[k, e].add(s)
+    assert set(map(len, of.values())) == {1} and len(made[1]) == 12 and len(of) == 4
+    assert "Annabel" in made[0] and not any(w in made[0].replace("Annabel", "").split() for w in ("Anna", "Meyer", "Ben", "Low"))
+    shapes = [a + b + c for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"]
+    assert len({pii.surrogate("given", n, gender="m" if k % 2 else "f") for k, n in enumerate(shapes)}) == len(shapes)
+
+
+def test_pii_takes_another_key_on_collision(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, plain = [], pii.pseudonymise
+
+    def poor(docs, key):
+        seen.append(key)
+        made = plain(docs, key)
+        return made if len(seen) > 1 else made.withColumn("entities", F.transform("entities", lambda e: e.withField("surrogate", F.lit("same"))))
+
+    monkeypatch.setattr(pii, "pseudonymise", poor)
+    docs = spark.createDataFrame([(1, "Mr Ben Low"), (2, "Mr Tim Low"), (3, "1.2.3.4 and 01.2.3.4 and Dr Ø")], "doc_id long, text string")
+    got = pii.checked(docs).collect()
+    assert len(seen) == 2 and len(set(seen)) == 2 and len(got) == 3
+    with pytest.raises(ValueError):
+        seen.clear()
+        pii.checked(docs, tries=1)
