@@ -44,7 +44,7 @@ ADDRESS = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "mrs": "f", "
 #: Letters by script, vowels apart so that names can be said.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àáâäéèêëíìîïóòôöúùûü", "ÀÁÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ", "çñß", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ")
 _PLACE = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
-_HEX = [{c: (a, k) for k, c in enumerate(a)} for a in ("0123456789abcdef", "0123456789ABCDEF")]
+_HEX, _SIX = ([{c: (a, k) for k, c in enumerate(a)} for a in both] for both in (("0123456789abcdef", "0123456789ABCDEF"), ("abcdef", "ABCDEF")))
 
 PATTERNS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
     ("email", re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"), lambda t: "@" in t),
@@ -93,7 +93,7 @@ def shifted(x: int, n: int, tweak: bytes) -> int:
 
 
 def reshape(text: str, key: bytes, kind: str, keep: Callable[[str], bool] | None = None, places: dict = _PLACE) -> str:
-    """Another text of the same shape; of those for which ``keep`` says what it says of ``text``."""
+    """Another text of the same shape; of those for which ``keep`` says what it says of ``text``. Raises where the walk finds none."""
     at = [(k, *places[c]) for k, c in enumerate(text) if c in places]
     n = x = 0
     n = 1
@@ -110,7 +110,7 @@ def reshape(text: str, key: bytes, kind: str, keep: Callable[[str], bool] | None
         made = "".join(out)
         if keep is None or keep(made) == keep(text):
             return made
-    return text
+    raise ValueError(f"no other {kind} of this shape found")
 
 
 # --- surrogates by kind --------------------------------------------------------------------------
@@ -145,7 +145,11 @@ def surrogate(kind: str, text: str, key: bytes = KEY, gender: str = "") -> str:
     if kind == "card":
         return reshape(text, key, kind, luhn)
     if kind == "hex":
-        return reshape(text, key, kind, lambda t: any(c.isdigit() for c in t), _HEX[text != text.lower()])
+        if text.isdigit():
+            return reshape(text, key, "hex of digits")
+        if text.isalpha():
+            return reshape(text, key, "hex of letters", None, _SIX[text != text.lower()])
+        return reshape(text, key, kind, lambda t: not t.isdigit() and not t.isalpha(), _HEX[text != text.lower()])
     if kind == "phone":
         country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
         head = country[0] if country else "+"

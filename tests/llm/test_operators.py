@@ -316,3 +316,13 @@ def test_pii_takes_another_key_on_collision(spark, monkeypatch):
     with pytest.raises(ValueError):
         seen.clear()
         pii.checked(docs, tries=1)
+
+
+def test_pii_hex_without_digits():
+    for text in ("deadbeefdeadbeef", "deadbeef" * 4, "DEADBEEF" * 4, "1234" * 8, "dead1234"):
+        made = pii.rewrite(f"token = {text}")[1]
+        assert len(made) == 1 and made[0][0] == "hex" and made[0][2] != text and len(made[0][2]) == len(text)
+        assert (made[0][2].isalpha(), made[0][2].isdigit()) == (text.isalpha(), text.isdigit())
+    turns = iter([True, False] * 200_000)
+    with pytest.raises(ValueError):
+        pii.reshape("11", b"k", "x", lambda t: next(turns))
