@@ -326,3 +326,20 @@ def test_pii_hex_without_digits():
     turns = iter([True, False] * 200_000)
     with pytest.raises(ValueError):
         pii.reshape("11", b"k", "x", lambda t: next(turns))
+
+
+def test_pii_more_forms():
+    cases = {
+        "phone": ["(743) 555-3824", "030 1234567", "(030) 1234567", "743-555-3824", "+1 (017) 555-7713"], "card": ["3782 822463 10005", "3782-822463-10005"],
+        "ipv6": ["2001:db8::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    }
+    for kind, texts in cases.items():
+        for t in texts:
+            made, told = pii.rewrite(f"see {t}, then.")
+            assert [(k, e) for k, e, _ in told] == [(kind, t)], t
+            assert made == f"see {told[0][2]}, then." and told[0][2] != t
+            assert [k for _, _, k, _ in pii.find_entities(made)] == [kind]
+    for t in ("at 12:30:45 on 2024-01-15, std::vector", "in 05 2024 (1999) 123-145", "DE00 3704 0044", "0.5 or 0,25 and 1999 123456"):
+        assert pii.find_entities(t) == [], t
+    assert len({pii.surrogate("ipv6", f"2001:db8::{x:x}") for x in range(16)} | {pii.surrogate("ipv6", f"2001:DB8::{x:X}") for x in range(16)}) == 32
+    assert len({pii.surrogate("phone", f"(0{x:02d}) 5") for x in range(100)} | {pii.surrogate("phone", f"({x:03d}) 5") for x in range(100, 1000)}) == 1000
