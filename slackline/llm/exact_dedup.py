@@ -54,8 +54,10 @@ class DigestIndex:
         return self.spark.read.schema(self.table().schema).parquet(self.path)
 
     def append(self, rows: DataFrame, batch: str) -> None:
-        """Adds what the index lacks. A batch that was appended before is not appended again."""
+        """Adds what the index lacks. A batch that was appended before is not appended again; it must then hold no text that the index lacks."""
         if not self.table().where(F.col("batch") == batch).isEmpty():
+            if not rows.join(self.files().select("digest"), "digest", "left_anti").isEmpty():
+                raise ValueError(f"batch {batch!r} was appended before, without some of these texts")
             return
         best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg")))
         groups = rows.groupBy("digest").agg(best.alias("best"), F.sum("copies").alias("copies"))
@@ -67,7 +69,11 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def _decisions(docs: DataFrame, index_path: str | None, batch: str) -> DataFrame:
+def _decisions(docs: DataFrame, index_path: str | None, batch: str | None) -> DataFrame:
+    if batch is None:
+        if index_path is not None:
+            raise ValueError("an index that lasts needs a name for each batch")
+        batch = "batch-0"
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact_dedup")
     rows = scratch.save(digest_rows(docs), "rows")
@@ -78,13 +84,14 @@ def _decisions(docs: DataFrame, index_path: str | None, batch: str) -> DataFrame
     return rows.join(known, "digest").withColumn("stays", stays)
 
 
-def exact_dedup(docs: DataFrame, index_path: str | None = None, batch: str = "batch-0") -> DataFrame:
+def exact_dedup(docs: DataFrame, index_path: str | None = None, batch: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
     Texts are equal when identical after deleting every space, tab, line feed, vertical tab, form
     feed and carriage return. Of a text not yet in the index, the row of most code points, then
     least doc_id, stays. Of a text that an earlier batch brought, none stays: keep_id is that
-    batch's. group_size counts the rows of the batch that brought the text.
+    batch's. group_size counts the rows of the batch that brought the text. ``index_path`` demands
+    ``batch``; one that was appended before may come again, with the same texts or some of them.
     """
     return (
         _decisions(docs, index_path, batch)
@@ -93,7 +100,7 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batch: str = "ba
     )
 
 
-def keep_first(docs: DataFrame, index_path: str | None = None, batch: str = "batch-0") -> DataFrame:
+def keep_first(docs: DataFrame, index_path: str | None = None, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows, one."""
     stay = _decisions(docs, index_path, batch).where("stays")
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("n_points").alias("__n"), F.col("copies").alias("__c"))

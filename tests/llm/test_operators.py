@@ -343,3 +343,15 @@ def test_pii_more_forms():
         assert pii.find_entities(t) == [], t
     assert len({pii.surrogate("ipv6", f"2001:db8::{x:x}") for x in range(16)} | {pii.surrogate("ipv6", f"2001:DB8::{x:X}") for x in range(16)}) == 32
     assert len({pii.surrogate("phone", f"(0{x:02d}) 5") for x in range(100)} | {pii.surrogate("phone", f"({x:03d}) 5") for x in range(100, 1000)}) == 1000
+
+
+def test_index_demands_new_batch_names(spark, tmp_path):
+    path = f"file://{tmp_path}/named"
+    one, two = (spark.createDataFrame([(k, t, "en", "s", 1)], DOCS) for k, t in ((1, "first"), (2, "second")))
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(one, path)
+    assert [exact_dedup.keep_first(one, path, "a").count() for _ in range(2)] == [1, 1]
+    for keep in (exact_dedup.exact_dedup, exact_dedup.keep_first):
+        with pytest.raises(ValueError):
+            keep(two, path, "a")
+    assert exact_dedup.keep_first(two, path, "b").count() == 1
