@@ -270,12 +270,8 @@ def _verified(docs: DataFrame, clusters: DataFrame, classes: DataFrame, scratch:
     return scratch.save(found, "verified")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, kept: one row per row of ``docs``.
-
-    n_links counts the other rows of Jaccard similarity 0.8 or more over shingles of five words;
-    class_id is the least doc_id that links reach; kept marks that row.
-    """
+def _classed(docs: DataFrame) -> DataFrame:
+    """doc_id, set_id, root, class_id, n_links: one row per row of ``docs``; set_id and root are null where a text has no shingles."""
     scratch = Scratch(docs.sparkSession, "ngram_join")
     rows = scratch.save(_signatures(docs), "rows")
     first = F.first("sig").alias("sig"), F.first("bands").alias("bands")
@@ -290,18 +286,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = classes.select("set_id", "rep", "copies").join(per_class, "set_id", "left").join(roots, "set_id", "left")
     joined = scratch.save(joined.withColumn("root", F.coalesce("root", "set_id")), "joined")
     least = scratch.save(joined.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
-    found = joined.join(least, "root").select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = joined.join(least, "root").select("set_id", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = scratch.save(found, "found")
     alone = F.col("set_id").isNull()
-    out = rows.where(~alone).select("doc_id", "set_id").join(found, "set_id").select("doc_id", "class_id", "n_links")
-    out = out.unionByName(rows.where(alone).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = rows.where(~alone).select("doc_id", "set_id").join(found, "set_id").select("doc_id", "set_id", "root", "class_id", "n_links")
+    none = F.lit(None).cast("binary")
+    return out.unionByName(rows.where(alone).select("doc_id", none.alias("set_id"), none.alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, kept: one row per row of ``docs``.
+
+    n_links counts the other rows of Jaccard similarity 0.8 or more over shingles of five words;
+    class_id is the least doc_id that links reach; kept marks that row.
+    """
+    return _classed(docs).select("doc_id", "class_id", "n_links").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _set_id(texts: pd.Series) -> pd.Series:
+    memo.claim("ngram_join")
+    found = (shingles(t) for t in texts)
+    return pd.Series([hashlib.blake2b(f.tobytes(), digest_size=16).digest() if len(f) else None for f in found], dtype=object)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is not the least of its class; null doc_ids stay."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each class, of its least doc_id; rows without shingles and null doc_ids stay.
+
+    Where a doc_id has several rows, each goes or stays by its own text's class.
+    """
+    scratch = Scratch(docs.sparkSession, "keep_one")
+    rows = scratch.save(_classed(docs).where("doc_id is not null").select("doc_id", "set_id", "root", "class_id"), "rows")
+    per_id = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("off")).where("n > 1 or off"), "per_id")
+    first = docs.join(per_id.select("doc_id"), "doc_id", "left_anti")
+    again = per_id.where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return first
+    stay = rows.where("root is not null and doc_id = class_id").groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("r")).select("r.doc_id", "r.set_id")
+    some = docs.join(again, "doc_id", "left_semi").withColumn("set_id", F.pandas_udf(_set_id, "binary")(F.coalesce("text", F.lit(""))))
+    held = some.join(stay, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
+    return first.unionByName(held.select(docs.columns)).unionByName(some.where("set_id is null").select(docs.columns))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

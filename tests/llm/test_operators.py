@@ -355,3 +355,15 @@ def test_index_demands_new_batch_names(spark, tmp_path):
         with pytest.raises(ValueError):
             keep(two, path, "a")
     assert exact_dedup.keep_first(two, path, "b").count() == 1
+
+
+def test_keep_one_goes_by_row(spark):
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(1, b + " x"), (5, a), (5, b), (7, a + " z"), (8, "short"), (8, "brief"), (9, " ".join(WORDS[200:260])), (9, " ".join(WORDS[200:260]) + " y"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = ngram_join.keep_one(docs)
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    nine = [k for k in kept if k[0] == 9]
+    assert len(nine) == 1 and nine[0] in rows
+    assert [k for k in kept if k[0] != 9] == sorted([(1, b + " x"), (5, a), (8, "short"), (8, "brief"), (None, a)], key=repr)
+    assert got.columns == docs.columns
