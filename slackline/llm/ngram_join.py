@@ -38,19 +38,15 @@ from slackline.plans.scratch import Scratch
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 28, 4, 16, 1e-7
 BUCKET_BLOCK, BLOCK = 2048, 256
-_MASK = 2**64 - 1
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+class _WordHash(memo.Halves):
+    def learnt(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_words = _WordHash()
-memo.register("ngram_join", _words.clear)
+_words = _WordHash(16 << 20)
+memo.register("ngram_join", _words.forget)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

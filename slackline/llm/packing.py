@@ -28,13 +28,13 @@ from slackline.llm import memo
 from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
-#: Words kept in a worker's table of ids; when it is full it starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes that each half of a worker's table of word ids may take.
+CACHE_BYTES = 24 << 20
 #: Marks that make one run when they end a word, and that begin no token of letters.
 STOPS = ".,!?;:#$%&*"
 
 
-class WordIds(dict):
+class WordIds(memo.Halves):
     """Token ids of words, as little-endian 32-bit bytes, learnt as they are asked for.
 
     Sound for tokenizers whose tokens cross neither a space nor the end of a run of letters, and
@@ -45,11 +45,11 @@ class WordIds(dict):
 
     tables: dict[str, WordIds] = {}
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        super().__init__(most)
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         #: Latin letters from U+0080, as the model reads them; composed, so normal form C leaves them alone.
@@ -61,7 +61,7 @@ class WordIds(dict):
             cls.tables[path] = cls(path)
         return cls.tables[path]
 
-    def __missing__(self, word: str) -> bytes:
+    def learnt(self, word: str) -> bytes:
         core = word.rstrip(STOPS)
         if core != word and core[-1:].isalpha() and core[-1] < "\u0130":  # later letters may end in a mark, which joins the stop
             ids = self[core] + self[word[len(core) :]]
@@ -71,9 +71,6 @@ class WordIds(dict):
             ids = self[low] if low != word else array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
         return ids
 
     def of_text(self, text: str) -> bytes:

@@ -35,6 +35,8 @@ from slackline.plans.scratch import Scratch
 #: Most labelled rows and learned beginnings that a fit uses.
 SAMPLE, FEATURES = 16_000, 200_000
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
+#: Distinct symbol sequences that a worker keeps from text to text.
+SEQUENCES = 50_000
 
 ORDINARY, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 WORDS = {
@@ -86,24 +88,27 @@ class Lexicon:
 _PART = re.compile(r"[^\W_]+|[.!?;:|]+")
 
 
-class Symbols(dict):
+class Symbols(memo.Halves):
     """Chunks between white space to a number: 0 if ordinary throughout, else of a symbol sequence."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 200_000):
-        super().__init__()
-        self.lexicon, self.most, self.found, self.number = lexicon, most, [((ORDINARY, 0.0),)], {}
+    def __init__(self, lexicon: Lexicon, most: int = 16 << 20):
+        super().__init__(most)
+        self.lexicon, self.found, self.number = lexicon, [((ORDINARY, 0.0),)], {}
 
-    def __missing__(self, chunk: str) -> int:
+    def learnt(self, chunk: str) -> int:
         read = tuple((BREAK, 0.0) if part[0] in ".!?;:|" else self.lexicon.read(part) for part in _PART.findall(chunk.lower())) or self.found[0]
         n = 0
         if any(kind != ORDINARY for kind, _ in read):
             n = self.number.setdefault(read, len(self.found))
             if n == len(self.found):
                 self.found.append(read)
-        if len(self) < self.most:
-            self[chunk] = n
         return n
 
+    def forget(self) -> None:
+        super().forget()
+        del self.found[1:]
+        self.number.clear()
+
 
 # --- the upper transducer: classes to clause weight -------------------------------------------
 
@@ -162,6 +167,9 @@ class Scorer:
         """The number of chunks, and the weights of the clauses that have any."""
         then, factor, amount = GRAMMAR
         chunks = text.split()
+        if len(self.symbols.found) > SEQUENCES:
+            self.symbols.forget()
+            self.telling = self.telling[:0]
         codes = np.fromiter(map(self.symbols.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         found = self.symbols.found
         if len(self.telling) < len(found):
