@@ -2,12 +2,13 @@
 
 What has to be packed is only a histogram: how many pieces there are of each length, 1 to
 ``capacity``. It has at most ``capacity`` rows whatever the corpus, so the driver packs it whole.
-Largest length first, the reduction fixes at once, for as many bins as there are pieces, the sets
-that provably dominate every other set holding that length: a piece that nothing fits beside, a
-pair that fills the bin, the largest partner where no two pieces (or no two that sum to more) fit.
-What it can't decide is packed best-fit decreasing, in groups of like bins. Pieces then take their
-places by rank within their length; ranks come from counts by (length, bucket), so a length that a
-third of all pieces share is never ranked in one task.
+Largest length first, Martello and Toth's reduction fixes at once, for as many bins as there are
+pieces, the sets of up to three that provably dominate every other set holding that length (see
+``dominating``); lengths it can't decide stay in the instance, partners for all that follow, and
+passes go on until one fixes nothing. The remainder is packed best-fit decreasing, in groups of
+like bins; if best-fit alone, without the reduction, takes fewer bins, its packing is used. Pieces
+then take their places by rank within their length; ranks come from counts by (length, bucket), so
+a length that a third of all pieces share is never ranked in one task.
 
 Defined cases: null text is empty; an empty text is one piece, the closing id; repeated rows are
 packed as often as they come; an empty table gives nothing; extra columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,10 +127,11 @@ class _Sizes:
         k = bisect.bisect_right(self.order, room)
         return self.order[k - 1] if k else 0
 
-    def least(self, n: int) -> list[int]:
+    def least(self, n: int, above: int = 0) -> list[int]:
+        """The n smallest pieces longer than ``above``; fewer if there are no more."""
         out: list[int] = []
-        for size in self.order:
-            out += [size] * min(n - len(out), self.n[size])
+        for k in range(bisect.bisect_right(self.order, above), len(self.order)):
+            out += [self.order[k]] * min(n - len(out), self.n[self.order[k]])
             if len(out) == n:
                 break
         return out
@@ -145,32 +148,56 @@ class _Sizes:
         return best
 
 
-def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
-    """Fixed bins as (how many, [(length, pieces of it in each)]), and the counts that are left."""
-    left, fixed, undecided = _Sizes(counts), [], {}
-    while left.order:
-        size = left.order[-1]
-        room, n = capacity - size, left.n[size]
-        left.take(size, 1)
-        partner, low = left.at_most(room), left.least(3)
-        # Each test, once true, stays true while pieces are taken away, so it fixes all pairs at once.
-        best = partner == room or len(low) < 2 or low[0] + low[1] > room or (len(low) < 3 or sum(low) > room) and left.best_pair(room) <= partner
+def dominating(left: _Sizes, size: int, capacity: int) -> tuple[int, ...] | None:
+    """What to put beside a piece of ``size`` so that no other choice from ``left`` can be better; None if that isn't known.
+
+    A set dominates another if the other's pieces can be dealt into groups, each no longer than a
+    piece of the set. Nothing, if nothing fits. The longest piece that fits, if it fills the bin, if
+    no two pieces fit, or if no three do and no two are longer together. It and the longest beside
+    it, if no three pieces fit and no two fit that are both longer than the second.
+    """
+    room = capacity - size
+    left.take(size, 1)
+    try:
+        first, low = left.at_most(room), left.least(3)
+        if not first:
+            return ()
+        if first == room or len(low) < 2 or low[0] + low[1] > room:
+            return (first,)
+        if len(low) == 3 and sum(low) <= room:
+            return None
+        if left.best_pair(room) <= first:
+            return (first,)
+        left.take(first, 1)
+        second = left.at_most(room - first)
+        left.give(first)
+        longer = left.least(2, second)
+        return (first, second) if second and (len(longer) < 2 or sum(longer) > room) else None
+    finally:
         left.give(size)
-        if not partner:
-            fixed.append((n, [(size, 1)]))
-            left.take(size, n)
-        elif best and partner == size:
-            fixed.append((n // 2, [(size, 2)]))
-            left.take(size, n // 2 * 2)
-        elif best:
-            m = min(n, left.n[partner])
-            fixed.append((m, [(size, 1), (partner, 1)]))
-            left.take(size, m)
-            left.take(partner, m)
-        else:
-            undecided[size] = n
-            left.take(size, n)
-    return fixed, undecided
+
+
+def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
+    """Fixed bins as (how many, [(length, pieces of it in each)]), and the counts that are left.
+
+    A choice that dominates does so while its pieces last, as others only grow fewer: it is fixed
+    for as many bins as they fill.
+    """
+    left, fixed, found = _Sizes(counts), [], True
+    while found:
+        found, size = False, left.at_most(capacity)
+        while size:
+            beside = dominating(left, size, capacity)
+            if beside is None:
+                size = left.at_most(size - 1)
+                continue
+            each = Counter((size, *beside))
+            bins = min(left.n[k] // v for k, v in each.items())
+            for k, v in each.items():
+                left.take(k, bins * v)
+            fixed.append((bins, list(each.items())))
+            found, size = True, left.at_most(size)
+    return fixed, left.n
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -219,8 +246,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     """Places by rank: pieces of ``length`` ranked first_rank .. last_rank - 1 go ``each`` to a bin, from bin ``sequence`` on, at ``offset``."""
     fixed, left = reduce_by_dominance(counts, capacity)
+    packings = [*fixed, *best_fit_decreasing(left, capacity)], best_fit_decreasing(counts, capacity)
     rows, rank, sequence = [], dict.fromkeys(counts, 0), 0
-    for bins, held in [*fixed, *best_fit_decreasing(left, capacity)]:
+    for bins, held in min(packings, key=lambda p: sum(bins for bins, _ in p)):
         offset = 0
         for length, each in held:
             rows.append((length, rank[length], rank[length] + bins * each, each, sequence, offset))

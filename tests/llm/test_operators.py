@@ -1,8 +1,9 @@
 """Corpus operators on small tables: brute force, round trips, and the awkward cases of each."""
 
+import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -144,13 +145,46 @@ def test_word_ids():
     assert len(ids) + len(ids.old) <= 2 * 10_000 // packing.memo.ENTRY_BYTES and max(map(len, ids)) <= ids.longest
 
 
+def fewest(sizes, capacity):
+    """Bins of the best packing, by trying every set that holds the longest piece left."""
+    if not sizes:
+        return 0
+    first, rest, best = sizes[0], sizes[1:], len(sizes)
+    for r in range(len(rest) + 1):
+        for beside in itertools.combinations(range(len(rest)), r):
+            if first + sum(rest[k] for k in beside) <= capacity:
+                best = min(best, 1 + fewest([x for k, x in enumerate(rest) if k not in beside], capacity))
+    return best
+
+
+def n_bins(packing):
+    return sum(bins for bins, _ in packing)
+
+
+def test_dominance_loses_no_bin():
+    """What the reduction fixes, and the best packing of what it leaves, are together a best packing."""
+    draw, kinds = random.Random(3), set()
+    for _ in range(400):
+        capacity = draw.randint(6, 20)
+        sizes = sorted((draw.randint(1 + capacity // draw.choice((2, 4, 9)), capacity) for _ in range(draw.randint(1, 7))), reverse=True)
+        have = dict(Counter(sizes))
+        fixed, left = packing.reduce_by_dominance(have, capacity)
+        kinds |= {sum(v for _, v in held) for _, held in fixed}
+        rest = sorted((k for k, v in left.items() for _ in range(v)), reverse=True)
+        best = fewest(sizes, capacity)
+        assert n_bins(fixed) + fewest(rest, capacity) == best, (sizes, capacity)
+        assert best <= packing.pack_histogram(have, capacity).eval("sequence + (last_rank - first_rank - 1) // each").max() + 1 <= best + 1
+    assert kinds == {1, 2, 3}
+    assert packing.reduce_by_dominance({6: 1, 3: 1, 2: 2}, 13) == ([], {6: 1, 3: 1, 2: 2})  # all fit one bin, which no set of three can tell
+
+
 def test_histogram_packing():
     draw = np.random.RandomState(1)
-    for _ in range(60):
+    for _ in range(200):
         sizes, counts = np.unique(draw.randint(1, 51, draw.randint(1, 300)), return_counts=True)
         have = dict(zip(sizes.tolist(), counts.tolist(), strict=True))
         fixed, left = packing.reduce_by_dominance(have, 50)
-        used = defaultdict(int, left)
+        used = Counter(left)
         for n, held in fixed:
             assert sum(size * each for size, each in held) <= 50
             for size, each in held:
@@ -158,7 +192,7 @@ def test_histogram_packing():
         assert dict(used) == have
         table = packing.pack_histogram(have, 50)
         most = int((table["sequence"] + (table["last_rank"] - table["first_rank"] - 1) // table["each"]).max()) + 1
-        assert most <= 1.25 * sum(k * v for k, v in have.items()) / 50 + 2
+        assert -(-sum(k * v for k, v in have.items()) // 50) <= most <= n_bins(packing.best_fit_decreasing(have, 50))
 
 
 def test_classifiers(spark, nothing):
