@@ -379,18 +379,42 @@ def test_pii_more_forms():
     assert len({pii.surrogate("phone", f"(0{x:02d}) 5") for x in range(100)} | {pii.surrogate("phone", f"({x:03d}) 5") for x in range(100, 1000)}) == 1000
 
 
-def test_index_demands_new_batch_names(spark, tmp_path):
+def test_index_demands_batch_names(spark, tmp_path):
     path = f"file://{tmp_path}/named"
     one, two = (spark.createDataFrame([(k, t, "en", "s", 1)], DOCS) for k, t in ((1, "first"), (2, "second")))
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(one, path)
     assert [exact_dedup.keep_first(one, path, "a").count() for _ in range(2)] == [1, 1]
-    for keep in (exact_dedup.exact_dedup, exact_dedup.keep_first):
-        with pytest.raises(ValueError):
-            keep(two, path, "a")
     assert exact_dedup.keep_first(two, path, "b").count() == 1
 
 
+def test_index_reopened(spark, tmp_path):
+    """Another partition count, a batch name that comes again with other rows, a crash in the middle of an append."""
+    path, frame = f"file://{tmp_path}/index", lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = [(k, f"text {k}") for k in range(40)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tables = len(spark.catalog.listTables())
+    try:
+        assert exact_dedup.exact_dedup(frame(first), path, "a").where("kept").count() == 40
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        got = exact_dedup.exact_dedup(frame([(100 + k, t) for k, t in first] + [(200, "new")]), path, "b").collect()
+        assert len(got) == 41 and [r["doc_id"] for r in got if r["kept"]] == [200]
+        more = frame([*first, (300, "more"), (301, "more ")])
+        assert {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(more, path, "a").collect()} == {**{k: True for k, _ in first}, 300: False, 301: True}
+        assert exact_dedup.keep_first(more, path, "a").count() == 41
+        index = exact_dedup.DigestIndex(spark, path)
+        assert index.files().count() == index.files().select("digest").distinct().count() == 42 and index.buckets == int(before)
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, buckets=9)
+        # A crash that left some of the files of a batch: the rest is appended when the batch comes again.
+        index.append(exact_dedup.digest_rows(frame([(400, "c1"), (401, "c2")])), "c")
+        whole = exact_dedup.exact_dedup(frame([(400, "c1"), (401, "c2"), (402, "c3")]), path, "c").collect()
+        assert sorted(r["doc_id"] for r in whole if r["kept"]) == [400, 401, 402] and index.files().count() == 45
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(spark.catalog.listTables()) == tables
+
+
 def test_keep_one_goes_by_row(spark):
     a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
     rows = [(1, b + " x"), (5, a), (5, b), (7, a + " z"), (8, "short"), (8, "brief"), (9, " ".join(WORDS[200:260])), (9, " ".join(WORDS[200:260]) + " y"), (None, a)]
