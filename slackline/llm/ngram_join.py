@@ -4,18 +4,20 @@ Texts with equal shingle sets are one class, handled once. Classes whose MinHash
 are candidates; inside a band's bucket pairs are compared STEP hash values at a time, and a pair
 goes as soon as the posterior probability that its similarity reaches the threshold, given the
 agreements so far and a flat prior, is below TOLERANCE. What survives joins classes into clusters;
-every pair of a cluster is then verified exactly on its shingle sets, as products of 0/1 matrices
-over blocks of at most BLOCK classes. Buckets and clusters beyond a block are dealt out as pairs of
-blocks, so no task ever holds a whole large group, and only counts and one link per row leave a
-task, never all pairs.
+every pair of a cluster is then verified exactly on its shingle sets, pruned ones as well, as
+products of 0/1 matrices over blocks of classes. Buckets and clusters beyond a block are dealt out
+as pairs of blocks, so no task ever holds a whole large group, and only counts and one link per row
+leave a task, never all pairs. Sets are copied once per block of their cluster; a cluster has at
+most SPREAD blocks until they are full (BLOCK_ROWS classes or BLOCK_BYTES of shingles).
 
 At J = 0.8 a band of 4 agrees with probability 0.41, one of the 28 bands with 1 - 4e-7; the pruning
 adds about as much again.
 
 Defined cases: words are runs between white space; a text of fewer than five words is one shingle;
 null and empty texts have none and link with nothing, each its own class; rows with null doc_id
-link with equal shingle sets and, if another row of the set has an id, through it; rows that repeat
-a doc_id are rows each; an empty table gives nothing; extra columns are ignored.
+link like any others, and a class whose rows all lack an id has a null class_id; rows that repeat a
+doc_id are rows each; an empty table gives nothing; extra columns are ignored, and carried by
+``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 
 from slackline.llm import memo
 from slackline.llm.groups import starts, whole_groups
+from slackline.llm.names import free
 from slackline.operators.components import connected_components
 from slackline.plans.scratch import Scratch
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 28, 4, 16, 1e-7
 BUCKET_BLOCK, BLOCK = 2048, 256
+SPREAD, BLOCK_ROWS, BLOCK_BYTES = 16, 2048, 16 << 20
 
 
 class _WordHash(memo.Halves):
@@ -177,13 +181,19 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _text_key() -> F.Column:
+    """What a row without an id is found by; null for the others."""
+    return F.when(F.col("doc_id").isNull(), F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo.claim("ngram_join")
         for batch in batches:
-            ids, sigs, keys = [], [], []
+            ids, sigs, keys, sizes = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text)
+                sizes.append(len(found))
                 if len(found):
                     least = min_hash(found)
                     ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
@@ -191,15 +201,15 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     keys.append(band_keys(least))
                 else:
                     ids.append(None), sigs.append(None), keys.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "set_id": ids, "sig": sigs, "bands": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_key": batch["text_key"], "set_id": ids, "size": sizes, "sig": sigs, "bands": keys})
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInPandas(run, "doc_id long, set_id binary, sig binary, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), _text_key().alias("text_key"))
+    return docs.mapInPandas(run, "doc_id long, text_key binary, set_id binary, size long, sig binary, bands array<long>")
 
 
-def _blocks(df: DataFrame, row: str, key: str, count: str, block: int) -> DataFrame:
-    """Rows of a group of ``count`` dealt out to pairs of blocks; ``g`` names group and pair."""
-    n = F.greatest(F.lit(1), F.ceil(F.col(count) / block).cast("int"))
+def _blocks(df: DataFrame, row: str, key: str, n: F.Column) -> DataFrame:
+    """Rows of a group of ``n`` blocks dealt out to pairs of blocks; ``g`` names group and pair."""
+    n = F.greatest(F.lit(1), n.cast("int"))
     df = df.withColumn("own", F.pmod(F.xxhash64(row), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     df = df.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     return df.withColumn("g", F.xxhash64(key, "lo", "hi")).withColumn("single", n == 1)
@@ -210,7 +220,7 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = classes.select("set_id", F.explode("bands").alias("key"))
     several = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "several")
     rows = keyed.join(several, "key").join(classes.select("set_id", "sig"), "set_id")
-    rows = _blocks(rows, "set_id", "key", "n", BUCKET_BLOCK).select("g", "key", "set_id", "sig")
+    rows = _blocks(rows, "set_id", "key", F.ceil(F.col("n") / BUCKET_BLOCK)).select("g", "key", "set_id", "sig")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_groups(batches, "g", "key"):
@@ -225,29 +235,40 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _verified(docs: DataFrame, clusters: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """set_id, links (weighted by copies), root, single: of every class that has a verified link."""
-    sizes = scratch.save(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    wanted = clusters.join(sizes, "component").join(classes.select(F.col("set_id").alias("id"), "rep", "copies"), "id")
-    wanted = scratch.save(wanted.select("rep", F.col("id").alias("set_id"), "component", "n", "copies").where("rep is not null"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted.hint("merge"), "rep")
+    wanted = scratch.save(clusters.join(classes.select(F.col("set_id").alias("id"), "rep", "rep_key", "copies", "size"), "id").withColumnRenamed("id", "set_id"), "clustered")
+    n, full = F.count("*"), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)
+    sizes = wanted.groupBy("component").agg(F.greatest(F.least(F.ceil(n / BLOCK), F.lit(SPREAD)), F.ceil(n / BLOCK_ROWS), full).alias("n"))
+    wanted = scratch.save(wanted.join(sizes, "component").select("rep", "rep_key", "set_id", "component", "n", "copies"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), _text_key().alias("rep_key"), F.coalesce("text", F.lit("")).alias("text"))
+    unnamed = texts.where("rep is null").groupBy("rep_key").agg(F.first("text").alias("text"))
+    out = "set_id", "component", "n", "copies", "text"
+    texts = texts.join(wanted.drop("rep_key").hint("merge"), "rep").select(*out).unionByName(unnamed.join(wanted.where("rep is null").drop("rep"), "rep_key").select(*out))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo.claim("ngram_join")
+        told: set[bytes] = set()  # a doc_id may have many rows, of the same set or of others
         for batch in batches:
-            found = [shingles(t) for t in batch["text"]]
-            same = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() == i for f, i in zip(found, batch["set_id"], strict=True)]
-            out = batch.drop(columns=["text", "rep"])
-            out["sh"] = [f.tobytes() for f in found]
-            yield out[np.array(same, dtype=bool)]
+            sets = []
+            for text, set_id in zip(batch["text"], batch["set_id"], strict=True):
+                found = None if set_id in told else shingles(text).tobytes()
+                if found is not None and hashlib.blake2b(found, digest_size=16).digest() != set_id:
+                    found = None
+                elif found is not None:
+                    told.add(set_id)
+                sets.append(found)
+            out = batch.drop(columns="text")
+            out["sh"] = sets
+            yield out[out["sh"].notna()]
 
     sets = texts.mapInPandas(cut, "set_id binary, component binary, n long, copies long, sh binary")
-    dealt = _blocks(sets, "set_id", "component", "n", BLOCK).select("g", "component", "set_id", "copies", "sh", (F.col("own") == F.col("lo")).alias("low"), (F.col("lo") == F.col("hi")).alias("inner"), "single")
+    dealt = _blocks(sets, "set_id", "component", F.col("n")).select("g", "component", "set_id", "copies", "sh", (F.col("own") == F.col("lo")).alias("low"), (F.col("lo") == F.col("hi")).alias("inner"), "single")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_groups(batches, "g", "component"):
             out = []
             edges = starts(rows["g"].to_numpy(), rows["component"].to_numpy())
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                part = rows.iloc[lo:hi].drop_duplicates("set_id")  # a doc_id with rows of the same set
+                part = rows.iloc[lo:hi].drop_duplicates("set_id")  # told by several tasks
                 if len(part) < 2:
                     continue
                 sets = [np.frombuffer(s, dtype=np.uint64) for s in part["sh"]]
@@ -270,8 +291,8 @@ def _classed(docs: DataFrame) -> DataFrame:
     """doc_id, set_id, root, class_id, n_links: one row per row of ``docs``; set_id and root are null where a text has no shingles."""
     scratch = Scratch(docs.sparkSession, "ngram_join")
     rows = scratch.save(_signatures(docs), "rows")
-    first = F.first("sig").alias("sig"), F.first("bands").alias("bands")
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *first)
+    first = F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("rep_key"), F.count("*").alias("copies"), *first)
     classes = scratch.save(classes, "classes")
     links = _candidates(classes, scratch)
     clusters = connected_components(links, scratch, "cand")
@@ -294,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links, kept: one row per row of ``docs``.
 
     n_links counts the other rows of Jaccard similarity 0.8 or more over shingles of five words;
-    class_id is the least doc_id that links reach; kept marks that row.
+    class_id is the least doc_id that links reach; kept marks the rows of that id.
     """
     return _classed(docs).select("doc_id", "class_id", "n_links").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
@@ -306,21 +327,24 @@ def _set_id(texts: pd.Series) -> pd.Series:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, of its least doc_id; rows without shingles and null doc_ids stay.
+    """``docs`` with one row of each class: of its least doc_id, or any if none has an id. Rows without shingles stay.
 
-    Where a doc_id has several rows, each goes or stays by its own text's class.
+    Where a doc_id has several rows, or a row has none, each goes or stays by its own text's class.
     """
     scratch = Scratch(docs.sparkSession, "keep_one")
-    rows = scratch.save(_classed(docs).where("doc_id is not null").select("doc_id", "set_id", "root", "class_id"), "rows")
-    per_id = scratch.save(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("off")).where("n > 1 or off"), "per_id")
-    first = docs.join(per_id.select("doc_id"), "doc_id", "left_anti")
+    rows = scratch.save(_classed(docs).select("doc_id", "set_id", "root", "class_id"), "rows")
+    per_id = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("class_id")).alias("off"))
+    per_id = scratch.save(per_id.where("n > 1 or off"), "per_id")
+    first = docs.where("doc_id is not null").join(per_id.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     again = per_id.where("n > 1").select("doc_id")
-    if again.isEmpty():
+    if again.isEmpty() and rows.where("doc_id is null").isEmpty():
         return first
-    stay = rows.where("root is not null and doc_id = class_id").groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("r")).select("r.doc_id", "r.set_id")
-    some = docs.join(again, "doc_id", "left_semi").withColumn("set_id", F.pandas_udf(_set_id, "binary")(F.coalesce("text", F.lit(""))))
-    held = some.join(stay, ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
-    return first.unionByName(held.select(docs.columns)).unionByName(some.where("set_id is null").select(docs.columns))
+    set_id, of_id, of_set = free(docs.columns, "set_id", "of_id", "of_set")
+    some = docs.where("doc_id is null").unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns))
+    some = scratch.save(some.withColumn(set_id, F.pandas_udf(_set_id, "binary")(F.coalesce("text", F.lit("")))), "some")
+    stay = rows.where("root is not null and doc_id <=> class_id").groupBy("root").agg(F.min(F.struct("doc_id", "set_id")).alias("r")).select(F.col("r.doc_id").alias(of_id), F.col("r.set_id").alias(of_set))
+    held = some.join(stay, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(set_id) == F.col(of_set))).dropDuplicates([of_id, of_set])
+    return first.unionByName(held.select(docs.columns)).unionByName(some.where(F.col(set_id).isNull()).select(docs.columns))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -57,35 +57,73 @@ def test_index_grows(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
-def test_ngram_join(spark, docs, nothing):
+def shingle_set(text):
+    w = (text or "").split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_rows():
+    """Rows with equal and near texts, repeated and null ids, null and empty texts."""
     draw = np.random.RandomState(0)
-    rows = [(i, t) for i, t, *_ in odd_docs() if i is not None and i != 11]
-    for k in range(60):
+    rows = [(i, t) for i, t, *_ in odd_docs()]
+    for k in range(80):
         words = list(draw.choice(WORDS, 60)) if k % 4 == 0 else words[: draw.randint(40, 60)] + [f"n{k}"] if draw.rand() < 0.3 else [w if draw.rand() > 0.02 else "z" for w in words]
-        rows.append((100 + k, " ".join(words)))
-    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in rows}
-    links = {i: {j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9} for i in sets}
-    for i in sets:
+        rows.append((None if k % 9 == 1 else 100 + k // 2 if k % 7 == 2 else 200 + k, " ".join(words)))
+    lone = [f"u{k}" for k in range(80)]
+    return [*rows, (None, " ".join(lone)), (None, " ".join(lone[:79])), (None, " ".join(lone[:79]))]
+
+
+def test_ngram_join(spark, docs, nothing):
+    """Row by row: rows of one id and text are told apart by how often they come."""
+    rows = near_rows()
+    sets = [shingle_set(t) for _, t in rows]
+    links = [{j for j in range(len(rows)) if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9} for i in range(len(rows))]
+    groups, want = [], []
+    for i in range(len(rows)):
         seen, todo = {i}, [i]
         while todo:
             new = links[todo.pop()] - seen
             seen |= new
             todo += new
-        assert (got[i]["n_links"], got[i]["class_id"]) == (len(links[i]), min(seen)), i
-    assert sum(map(len, links.values())) > 20
-    assert ngram_join.near_duplicates(nothing).count() == 0
+        groups.append(frozenset(seen))
+        want.append((rows[i][0], min((rows[j][0] for j in seen if rows[j][0] is not None), default=None), len(links[i])))
+    frame = spark.createDataFrame([(i, t, "own", 1) for i, t in rows], "doc_id long, text string, set_id string, root int")
+    got = ngram_join.near_duplicates(frame).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter(want)
+    assert sum(map(len, links)) > 60 and any(i is None and n for i, _, n in want)
+    kept = ngram_join.keep_one(frame)
+    assert kept.columns == frame.columns
+    stay = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert not Counter(stay) - Counter(rows)
+    group_of = dict(zip(rows, groups, strict=True))  # rows of one id and text are of one group, or without shingles
+    assert len(stay) == len(set(groups)) and Counter(group_of[r] for r in stay if shingle_set(r[1])) == Counter({g for r, g in zip(rows, groups, strict=True) if shingle_set(r[1])})
+    assert ngram_join.near_duplicates(nothing).count() == ngram_join.keep_one(nothing).count() == 0
     assert ngram_join.near_duplicates(docs).count() == len(odd_docs())
-    assert ngram_join.keep_one(docs).columns == docs.columns
+
+
+def test_ngram_recall_near_threshold(spark):
+    """Pairs of similarity 0.8 to 0.84 against exact counts, and pairs just below."""
+    draw, rows, want = np.random.RandomState(6), [], {}
+    for k in range(400):
+        words = [f"{k}-{j}" for j in draw.permutation(200)]
+        n = int(draw.randint(14, 30))  # a cut of n words at the end and n new ones
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-n], *(f"{k}+{j}" for j in range(n))]))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        want[k] = len(a & b) / len(a | b)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [k for k, j in want.items() if 0.8 <= j < 0.84]
+    assert len(close) > 40 and np.mean([got[2 * k] for k in close]) >= 0.99
+    assert not any(got[2 * k] for k, j in want.items() if j < 0.8)
 
 
 def test_ngram_blocks(spark, monkeypatch):
-    """Groups larger than a block give what one block gives."""
+    """Groups larger than a block give what one block gives, whatever fills the blocks."""
     rows = [(k, " ".join([*WORDS[:100], f"t{k}"])) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 9)
-    assert {(r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()} == {(0, 39)}
+    for name, value in (("BLOCK", 7), ("BLOCK_ROWS", 5), ("BLOCK_BYTES", 4000)):
+        monkeypatch.setattr(ngram_join, name, value)
+        assert {(r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()} == {(0, 39)}
 
 
 def test_pruning_keeps_what_may_reach():
@@ -423,5 +461,5 @@ def test_keep_one_goes_by_row(spark):
     kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
     nine = [k for k in kept if k[0] == 9]
     assert len(nine) == 1 and nine[0] in rows
-    assert [k for k in kept if k[0] != 9] == sorted([(1, b + " x"), (5, a), (8, "short"), (8, "brief"), (None, a)], key=repr)
+    assert [k for k in kept if k[0] != 9] == sorted([(1, b + " x"), (5, a), (8, "short"), (8, "brief")], key=repr)
     assert got.columns == docs.columns
