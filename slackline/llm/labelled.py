@@ -14,11 +14,11 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int) -> DataFrame:
     """text, label, part: at most ``bound`` labelled rows outside the held-out fold, in hash order.
 
-    A doc_id labelled twice counts with its least label; equal texts count once; null labels and
-    null texts are not sampled. ``part`` is 0, 1 or 2 by hash, for fitting in two steps.
+    A doc_id labelled twice and equal texts count once, with their least label; null labels and null
+    texts are not sampled. ``part`` is 0, 1 or 2 by hash, for fitting in two steps.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # `bound` rows of 12 bytes: safe to broadcast
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return rows.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(3)).cast("int").alias("part")).dropDuplicates(["text"])
+    return rows.groupBy("text").agg(F.min("label").alias("label")).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3)).cast("int"))

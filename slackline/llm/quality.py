@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slackline.llm.labelled import held_out, labelled_sample
+from slackline.llm.names import free
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 20_000
@@ -118,8 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     return fit_trees(x[order], got["label"].to_numpy(dtype=float)[order])
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` columns and ``score``, 0 to 1."""
+def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") -> DataFrame:
+    """``docs`` columns and a new one, 0 to 1."""
+    if free(docs.columns, name) != [name]:
+        raise ValueError(f"there is a column {name} already")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -127,7 +130,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             x = np.array([statistics(t or "") for t in batch], dtype=float).reshape(len(batch), len(STATISTICS))
             yield pd.Series(predict(held.value, x))
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:

@@ -2,13 +2,17 @@
 
 Two layers of transducers. The lower one reads the letters of a word through a trie and writes a
 class (insult, threat, target, negation, report, break) and a weight. The upper one reads the
-classes of a clause; it is the product of four small machines (is an insult negated, is the clause
-reported speech, is somebody addressed, did an insult or threat just pass), composed once into a
-single table whose arcs carry a factor for the word's weight and an amount of their own. A text is
-judged by its clauses' totals, never by words alone; a logistic curve turns them into a score.
+classes of a clause; it is the product of five small machines (is something negated, is the clause
+reported speech, is somebody addressed, did an insult just pass, is there a threat and who is its
+target), composed once into a single table whose arcs carry a factor for the word's weight and an
+amount of their own. A threat waits for its target till the clause ends, with the negation and the
+reported speech that it was met in. A text is judged by its clauses' totals, never by words alone;
+a logistic curve turns them into a score.
 
 Insult words come from a fixed list and from labelled rows: words and word beginnings whose log
-odds stay high after subtracting their uncertainty. The fit uses at most SAMPLE labelled rows.
+odds stay high after subtracting their uncertainty. The fit uses at most SAMPLE labelled rows, and
+every feature that occurs LEAST times in them. LEAST, FLOOR, Z and the features of the curve were
+chosen by ``cross_validate`` inside rows that are not held out.
 
 Defined cases: null and empty texts match no clause and get the lowest score; a null doc_id is not
 held out; repeated rows are scored each; an empty table gives nothing; without labelled rows of both
@@ -20,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +35,13 @@ from pyspark.sql import functions as F
 
 from slackline.llm import memo
 from slackline.llm.labelled import held_out, labelled_sample
+from slackline.llm.names import free
 from slackline.plans.scratch import Scratch
 
-#: Most labelled rows and learned beginnings that a fit uses.
-SAMPLE, FEATURES = 16_000, 200_000
+#: Most labelled rows that a fit uses.
+SAMPLE = 16_000
+#: Rows of label 1 that a learned feature is in, the least lower bound of its log odds, and how many deviations below the odds that bound lies.
+LEAST, FLOOR, Z = 3, 1.6, 1.6
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
 #: Distinct symbol sequences that a worker keeps from text to text.
 SEQUENCES = 50_000
@@ -41,10 +49,14 @@ SEQUENCES = 50_000
 ORDINARY, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
 WORDS = {
     INSULT: "idiot idiots moron morons stupid dumb pathetic worthless loser losers scum trash clown disgusting imbecile fool vermin filth".split(),
-    THREAT: "kill murder destroy hurt shoot stab strangle".split(),
-    TARGET: "you your yours yourself he she him they them these those this people everyone".split(),
-    NEGATION: "not never no isn wasn don doesn didn nobody without hardly nicht kein pas jamais nunca".split(),
-    REPORT: "said says told called calls quoted wrote claimed claims alleged according sagte dit dijo".split(),
+    THREAT: (
+        "kill kills killed killing murder murders murdered murdering destroy destroys destroyed destroying hurt hurts hurting shoot shoots shooting shot "
+        "stab stabs stabbed stabbing strangle strangles strangled strangling töte tötet töten umbringen ermorde ermorden erschieße erschießen erwürge erwürgen "
+        "tuer tuerai tuerons assassiner assassinerai étrangler poignarder matar mataré mataremos asesinar asesinaré apuñalar estrangular"
+    ).split(),
+    TARGET: "you your yours yourself he she him they them these those this people everyone dich euch ihn vous toi usted ustedes vosotros".split(),
+    NEGATION: "not never no isn wasn don doesn didn won nobody without hardly nicht nie kein keine pas jamais nunca jamás".split(),
+    REPORT: "said says told called calls quoted wrote claimed claims alleged according sagte schrieb dit affirma dijo escribió".split(),
 }
 SEED_WEIGHT = 2.0
 
@@ -112,33 +124,56 @@ class Symbols(memo.Halves):
 
 # --- the upper transducer: classes to clause weight -------------------------------------------
 
-def _negated(state: int, kind: int) -> tuple[int, float, float]:
+#: What is left of an insult's weight, and of a threat's, that is negated or reported; what being addressed adds to an insult.
+NEGATED, REPORTED, ADDRESSED = 0.4, 0.6, 1.3
+#: What a target close behind an insult adds; a threat with its target behind and before it.
+BEHIND, THREAT_BEHIND, THREAT_BEFORE = 0.5, 1.5, 0.5
+
+
+def _negated(state: int, kind: int, _seen: tuple) -> tuple[int, float, float]:
     after = 0 if kind == BREAK else 3 if kind == NEGATION else max(0, state - 1)
-    return after, 0.4 if kind == INSULT and state else 1.0, 0.0
+    return after, NEGATED if kind == INSULT and state else 1.0, 0.0
 
 
-def _reported(state: int, kind: int) -> tuple[int, float, float]:
+def _reported(state: int, kind: int, _seen: tuple) -> tuple[int, float, float]:
     after = 0 if kind == BREAK else 1 if kind == REPORT else state
-    return after, 0.6 if kind == INSULT and state else 1.0, 0.0
+    return after, REPORTED if kind == INSULT and state else 1.0, 0.0
 
 
-def _addressed(state: int, kind: int) -> tuple[int, float, float]:
+def _addressed(state: int, kind: int, _seen: tuple) -> tuple[int, float, float]:
     after = 0 if kind == BREAK else 5 if kind == TARGET else max(0, state - 1)
-    return after, 1.3 if kind == INSULT and state else 1.0, 0.0
+    return after, ADDRESSED if kind == INSULT and state else 1.0, 0.0
+
 
+def _insulted(state: int, kind: int, _seen: tuple) -> tuple[int, float, float]:
+    """How many words ago an insult passed: 2 one, 1 two, 0 more."""
+    after = {BREAK: 0, INSULT: 2}.get(kind, max(0, state - 1))
+    return after, 1.0, BEHIND if kind == TARGET and state else 0.0
 
-def _just_passed(state: int, kind: int) -> tuple[int, float, float]:
-    """0 nothing; 1-2 an insult, 3-4 a threat, so many words ago."""
-    after = {BREAK: 0, INSULT: 2, THREAT: 4}.get(kind, {2: 1, 4: 3}.get(state, 0))
-    return after, 1.0, (0.5 if state in (1, 2) else 1.5 if state in (3, 4) else 0.0) if kind == TARGET else 0.0
+
+def _threatened(state: tuple, kind: int, seen: tuple) -> tuple[tuple, float, float]:
+    """(is a target known, what the waiting threat is worth); ``seen`` are the states of negation and report."""
+    target, waits = state
+    if kind == BREAK:
+        return (False, 0.0), 1.0, 0.0
+    if kind == TARGET:
+        return (True, 0.0), 1.0, THREAT_BEHIND * waits
+    if kind == THREAT:
+        worth = (NEGATED if seen[0] else 1.0) * (REPORTED if seen[1] else 1.0)
+        return (target, max(waits, worth)), 1.0, THREAT_BEFORE * worth if target else 0.0
+    return state, 1.0, 0.0
 
 
 def compose(*machines) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
-    """The product: next state, factor and amount by state and class; state 0 starts a clause."""
-    states, numbers = [(0,) * len(machines)], {(0,) * len(machines): 0}
+    """The product of (start, machine): next state, factor and amount by state and class; state 0 starts a clause.
+
+    Each machine is told the states that those in front of it are in.
+    """
+    start = tuple(s for s, _ in machines)
+    states, numbers = [start], {start: 0}
     then, factor, amount = [], [], []
     for state in states:  # grows while it runs
-        rows = [[m(s, kind) for m, s in zip(machines, state, strict=True)] for kind in range(7)]
+        rows = [[m(state[k], kind, state[:k]) for k, (_, m) in enumerate(machines)] for kind in range(7)]
         then.append([])
         for row in rows:
             after = tuple(x[0] for x in row)
@@ -151,7 +186,7 @@ def compose(*machines) -> tuple[list[list[int]], list[list[float]], list[list[fl
     return then, factor, amount
 
 
-GRAMMAR = compose(_negated, _reported, _addressed, _just_passed)
+GRAMMAR = compose((0, _negated), (0, _reported), (0, _addressed), (0, _insulted), ((False, 0.0), _threatened))
 
 
 class Scorer:
@@ -230,19 +265,13 @@ def _counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
     return rows.select("text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(sample: DataFrame, least: int = 3, floor: float = 0.7, z: float = 2.6) -> dict[str, float]:
-    """Weights of the words and beginnings that mark label 1."""
-    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
-    if not pos or not neg:
-        return {}
-    often = {r["feature"]: r["n"] for r in _counted(sample.where("label = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(FEATURES).collect()}
-    base = {r["feature"]: r["n"] for r in _counted(sample.where("label = 0"), set(often)).collect()}
+def weigh(often: dict[str, int], base: dict[str, int], pos: int, neg: int, floor: float = FLOOR, z: float = Z) -> dict[str, float]:
+    """Weights of the features that mark label 1, from how many rows of each label have them."""
     found = {}
     for word, a in often.items():
         b = base.get(word, 0)
         odds = math.log((a + 0.1) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
-        low = odds - z * math.sqrt(1 / (a + 0.1) + 1 / (b + 0.5) - (1 / (pos + 1) + 1 / (neg + 1)) if a + b > 0 else 1)
+        low = odds - z * math.sqrt(1 / (a + 0.1) + 1 / (b + 0.5) - (1 / (pos + 1) + 1 / (neg + 1)))
         if low >= floor:
             found[word] = min(low, 5.0)
     for word in sorted((w for w in found if w.endswith("*")), key=len):  # one word, or a longer beginning, is all that it stands for
@@ -256,6 +285,62 @@ def learn_lexicon(sample: DataFrame, least: int = 3, floor: float = 0.7, z: floa
     return found
 
 
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Weights of the words and beginnings that mark label 1; a sample of bounded rows has a bounded number of them."""
+    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    pos, neg = size.get(1, 0), size.get(0, 0)
+    if not pos or not neg:
+        return {}
+    often = _counted(sample.where("label = 1"), None).where(F.col("n") >= max(LEAST, least_rows(pos, neg)))
+    often = {r["feature"]: r["n"] for r in often.collect()}
+    base = {r["feature"]: r["n"] for r in _counted(sample.where("label = 0"), set(often)).collect()}
+    return weigh(often, base, pos, neg)
+
+
+def least_rows(pos: int, neg: int, floor: float = FLOOR, z: float = Z) -> int:
+    """Rows of label 1 below which no feature can reach the floor, even if no row of label 0 has it."""
+    a = 1
+    while a < pos and math.log((a + 0.1) / (pos + 1)) - math.log(0.5 / (neg + 1)) - z * math.sqrt(1 / (a + 0.1) + 2 - (1 / (pos + 1) + 1 / (neg + 1))) < floor:
+        a += 1
+    return a
+
+
+def cross_validate(rows: list[tuple[str, int]], settings: list[dict], folds: int = 5, threshold: float = THRESHOLD) -> list[dict]:
+    """For each of ``settings`` (floor, z, least, features): log loss, precision and recall over ``rows(text, label)``, each scored by a model of the other folds.
+
+    Inside those, as in ``fit``, two thirds give the words and the rest the curve. Run it on rows
+    that are not held out.
+    """
+    part = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t, _ in rows]
+    found = [word_features(t) for t, _ in rows]
+    counts = []
+    for k in range(folds):
+        told: tuple[Counter, Counter] = (Counter(), Counter())
+        size = [0, 0]
+        for (_, label), p, f in zip(rows, part, found, strict=True):
+            if p % folds != k and p // folds % 3:
+                told[label].update(f)
+                size[label] += 1
+        counts.append((told, size))
+    out = []
+    for s in settings:
+        y, p_of = [], []
+        for k in range(folds):
+            (base, often), (neg, pos) = counts[k]
+            scorer = Scorer(weigh({w: n for w, n in often.items() if n >= s["least"]}, base, pos, neg, s["floor"], s["z"]))
+            x = np.array([scorer.features(t) for t, _ in rows])[:, s["features"]]
+            fit_on = np.array([p % folds != k and p // folds % 3 == 0 for p in part])
+            asked, labels = np.array([p % folds == k for p in part]), np.array([v for _, v in rows], dtype=float)
+            w = fit_curve(x[fit_on], labels[fit_on])
+            p_of += (1 / (1 + np.exp(-np.clip(w[0] + x[asked] @ np.array(w[1:]), -30, 30)))).tolist()
+            y += labels[asked].tolist()
+        y, p = np.array(y), np.array(p_of)
+        hit = p >= threshold
+        q = np.clip(p, 1e-6, 1 - 1e-6)
+        out.append({**s, "log_loss": float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()), "precision": float(y[hit].mean()) if hit.any() else 1.0, "recall": float(hit[y == 1].mean())})
+    return out
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Logistic regression, the intercept first; no coefficient of a feature is negative, so more weight never lowers a score."""
     use = list(range(x.shape[1]))
@@ -305,8 +390,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"lexicon": lexicon, "curve": fit_curve(np.array(got["x"].tolist()), got["label"].to_numpy(dtype=float))}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` columns and ``score``, 0 to 1."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` columns and a new one, 0 to 1."""
+    if free(docs.columns, name) != [name]:
+        raise ValueError(f"there is a column {name} already")
     held = docs.sparkSession.sparkContext.broadcast(json.dumps(model))
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -317,7 +404,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             raw = [curve[0] + sum(c * v for c, v in zip(curve[1:], scorer.features(t or ""), strict=True)) for t in batch]
             yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in raw], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> DataFrame:
@@ -328,11 +415,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: dict | None = None) -> D
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic."""
-    name = "__score"
-    scored = score(docs.withColumnRenamed("score", "__own") if "score" in docs.columns else docs, fit(docs, labels)).withColumnRenamed("score", name)
-    scored = scored.where(F.col(name) < THRESHOLD).drop(name)
-    return scored.withColumnRenamed("__own", "score") if "score" in docs.columns else scored
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names."""
+    (name,) = free(docs.columns, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
