@@ -1,9 +1,11 @@
 """Corpus operators on small tables: brute force, round trips, and the awkward cases of each."""
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from slackline.llm import chat, ego_join, exact_dedup, mixing, ngram_join, packi
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{k}" for k in range(400)]
+KEY = b"a key of the tests"
 
 
 def odd_docs():
@@ -139,7 +142,7 @@ def test_mixing(spark, docs, nothing):
     leaves = defaultdict(int)
     for r in got:
         leaves[r["lang"], r["source"]] += len(r["text"].split())
-    # 248 tokens, 124 wanted: 41 to each domain; of s0's, fr can give 16 in two epochs and en gives the rest
+    # 248 tokens, 124 wanted: 42, 41 and 41 to the domains; of s0's, fr can give 16 in two epochs and en gives the rest
     assert leaves["fr", "s0"] == 16 and leaves["en", "s0"] == 28
     assert leaves["en", "s1"] == leaves["en", "s2"] == 44
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(table.repartition(7), plan).collect()))
@@ -147,6 +150,52 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mix(docs).columns == [*docs.columns, "epoch"]
 
 
+def shared(wanted, children):
+    """``children``: key to (cap, weight); what each is given, filling the full ones round by round in fractions."""
+    given, spare = {}, Fraction(wanted)
+    live = {k: (c, w) for k, (c, w) in children.items() if c > 0 and w > 0}
+    while live:
+        level = spare / sum(w for _, w in live.values())
+        full = [k for k, (c, w) in live.items() if c <= level * w]
+        if not full:
+            exact = {k: level * w for k, (_, w) in live.items()}
+            given |= {k: math.floor(v) for k, v in exact.items()}
+            left = math.floor(spare) - sum(math.floor(v) for v in exact.values())
+            for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[:left]:
+                given[k] += 1
+            break
+        for k in full:
+            given[k] = live.pop(k)[0]
+            spare -= given[k]
+    return given
+
+
+def test_budgets_against_rounds(spark):
+    """Random trees: the plan's SQL and the oracle's against filling round by round, in fractions."""
+    import duckdb
+
+    draw = random.Random(7)
+    for trial in range(6):
+        share = (0.3, 0.75, 1.9, 0.5, 0.05, 1.0)[trial]
+        plan = mixing.MixPlan(share, 2, 17, {"0": 2, "1": 0, "2": 5}, {"en": 4, "fr": draw.randint(0, 3)}, {"a0": 3, "b2": 7})
+        leaves = sorted({(d, lang, f"{s}{d}"): draw.choice((draw.randint(1, 9), draw.randint(1, 10**draw.randint(1, 11)))) for d in "0123" for lang in ("", "de", "en", "fr") for s in "abcde" if draw.random() < 0.7}.items())
+        rows = [(*k, v) for k, v in leaves]
+        weigh = lambda key, weights: weights.get(key, 1)
+        cap = lambda n: sum(2 * t for k, t in leaves if k[: len(n)] == n)
+        kids = lambda n: sorted({k[: len(n) + 1] for k, _ in leaves if k[: len(n)] == n})
+        tables = (plan.domain_weights, plan.lang_weights, plan.source_weights)
+        level = {(): math.floor(sum(t for _, t in leaves) * share)}
+        for table in tables:
+            level = {k: v for n, wanted in level.items() for k, v in shared(wanted, {c: (cap(c), weigh(c[-1], table)) for c in kids(n)}).items()}
+        want = sorted((*k, v) for k, v in level.items() if v)
+        got = mixing._targets(spark.createDataFrame(rows, "domain string, lang string, source string, tokens long"), plan).select("domain", "lang", "source", "target")
+        assert sorted(map(tuple, got.collect())) == want
+        con = duckdb.connect()
+        con.execute("CREATE TABLE leaves (domain VARCHAR, lang VARCHAR, source VARCHAR, tokens BIGINT)")
+        con.executemany("INSERT INTO leaves VALUES (?, ?, ?, ?)", rows)
+        assert sorted(con.execute(f"WITH {mixing._tree_sql(plan, mixing._share_by_search)} SELECT domain, lang, source, target FROM targets").fetchall()) == want
+
+
 def test_packing(spark, docs, nothing):
     from tokenizers import Tokenizer
 
@@ -259,10 +308,109 @@ def test_grammar():
     total = lambda t: sum(toxicity.Scorer({}).clauses(t)[1])
     assert total("you are an idiot") > total("an idiot") > total("he is not an idiot") > 0
     assert total("she said idiot") < total("she is an idiot")
-    assert total("I will kill you") > 0 and total("kill the process") == 0
+    assert total("I will kill you") > 0 and total("kill the process") == 0 and total("kill the process. you") == 0
+    assert total("I will kill all of you") == total("I will kill you") > total("you I will kill") > 0
+    assert total("I will not kill you") == toxicity.NEGATED * total("I will kill you")
+    assert total("he said I will kill you") < total("he and I will kill you")
+    assert total("ich werde dich töten") > 0 and total("je vais vous tuer") > 0
     assert total("the moral story") == 0
 
 
+def clause_weights(read, words):
+    """Weights of the clauses by rule, one look at the words in front at a time."""
+    out = []
+    for clause in words:
+        total = 0.0
+        for k, word in enumerate(clause):
+            kind, weight = read(word)
+            front = [read(w)[0] for w in clause[:k]]
+            negated = toxicity.NEGATION in front[-3:]
+            reported = toxicity.REPORT in front
+            if kind == toxicity.INSULT:
+                total += weight * (toxicity.NEGATED if negated else 1) * (toxicity.REPORTED if reported else 1) * (toxicity.ADDRESSED if toxicity.TARGET in front[-5:] else 1)
+            if kind == toxicity.THREAT and toxicity.TARGET in front:
+                total += toxicity.THREAT_BEFORE * (toxicity.NEGATED if negated else 1) * (toxicity.REPORTED if reported else 1)
+            if kind == toxicity.TARGET:
+                if toxicity.INSULT in front[-2:]:
+                    total += toxicity.BEHIND
+                since = len(front) - front[::-1].index(toxicity.TARGET) if toxicity.TARGET in front else 0
+                waits = [(toxicity.NEGATED if toxicity.NEGATION in front[max(0, j - 3) : j] else 1) * (toxicity.REPORTED if toxicity.REPORT in front[:j] else 1) for j in range(since, k) if front[j] == toxicity.THREAT]
+                total += toxicity.THREAT_BEHIND * max(waits, default=0)
+        out.append(total)
+    return [t for t in out if t]
+
+
+def test_grammar_against_rules():
+    draw, scorer = random.Random(8), toxicity.Scorer({"grob*": 3.0})
+    words = ["idiot", "kill", "you", "not", "said", "tree", "house", "grobnak", "töten"]
+    for _ in range(1500):
+        clauses = [draw.choices(words, k=draw.randint(1, 12)) for _ in range(draw.randint(1, 3))]
+        got = scorer.clauses(". ".join(" ".join(c) for c in clauses))[1]
+        assert got == pytest.approx(clause_weights(scorer.symbols.lexicon.read, clauses)), clauses
+
+
+def test_cross_validation():
+    draw = random.Random(4)
+    rows = [(" ".join(draw.choices(WORDS, k=30) + (["grobnak", "you"] * 2 if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(200)]
+    good, poor = toxicity.cross_validate(rows, [{"least": 3, "floor": 0.7, "z": 1.6, "features": [0, 1]}, {"least": 3, "floor": 9.0, "z": 1.6, "features": [0, 1]}])
+    assert good["recall"] == good["precision"] == 1 and good["log_loss"] < 0.1 < poor["log_loss"]
+    assert all(toxicity.weigh({"w": n}, {}, pos, neg) == {} for pos, neg in ((5, 20), (900, 9000)) for n in range(1, toxicity.least_rows(pos, neg)))
+
+
+def split_gain(g, h, left, right, least, ridge):
+    gl, hl, gr, hr = (sum(v[r] for r in side) for side in (left, right) for v in (g, h))
+    return -1.0 if hl < least / 4 or hr < least / 4 else gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - (gl + gr) ** 2 / (hl + hr + ridge)
+
+
+def test_trees_against_naive_search():
+    """No cut between two values of any column is better than the one taken; leaves and scores by plain sums and walks."""
+    draw = np.random.RandomState(5)
+    for _ in range(4):
+        x = np.round(draw.normal(size=(36, 3)), 1)
+        y = (x[:, 0] * x[:, 1] + 0.4 * draw.normal(size=36) > 0).astype(float)
+        model = quality.fit_trees(x, y, trees=4, depth=3, rate=0.3, bins=1500, least=2.0)
+        margins, cuts = np.full(36, np.log(y.mean() / (1 - y.mean()))), 0
+        assert model["base"] == pytest.approx(margins[0])
+        for feature, threshold, leaf in zip(model["feature"], model["threshold"], model["leaf"], strict=True):
+            p = 1 / (1 + np.exp(-margins))
+            g, h = p - y, p * (1 - p)
+            at = {0: list(range(36))}
+            for node in range(7):
+                rows = at[node]
+                best = max(split_gain(g, h, [r for r in rows if x[r, j] <= v], [r for r in rows if x[r, j] > v], 2.0, 1.0) for j in range(3) for v in np.unique(x[:, j])[:-1])
+                sides = [[r for r in rows if (x[r, feature[node]] > threshold[node]) == side] for side in (False, True)]
+                at[2 * node + 1], at[2 * node + 2] = sides
+                if np.isfinite(threshold[node]):
+                    cuts += 1
+                    assert split_gain(g, h, *sides, 2.0, 1.0) == pytest.approx(best)
+                else:
+                    assert best <= 1e-6 + 1e-9
+            for k in range(8):
+                for r in at[7 + k]:
+                    margins[r] -= 0.3 * sum(g[i] for i in at[7 + k]) / (sum(h[i] for i in at[7 + k]) + 1.0)
+                    assert leaf[k] == pytest.approx(-0.3 * sum(g[i] for i in at[7 + k]) / (sum(h[i] for i in at[7 + k]) + 1.0))
+        assert cuts > 8 and quality.predict(model, x) == pytest.approx(1 / (1 + np.exp(-margins)))
+
+
+def test_clashing_names(spark):
+    """A caller's own columns come out as they went in, whatever they are called."""
+    names = ["Score", "entities", "epoch", "__domain", "__epochs", "set_id", "id__", "digest__", "__pii", "label", "root", "copies"]
+    frame = spark.createDataFrame([(k, " ".join(WORDS[k * 40 : k * 40 + 30]), "en", "s", 1, *[f"{n}{k}" for n in names]) for k in range(6)] * 2, DOCS + "".join(f", `{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = Counter(map(tuple, frame.collect()))
+    one = Counter(set(rows))
+    assert Counter(map(tuple, toxicity.keep_clean(frame, labels).collect())) == rows
+    assert Counter(map(tuple, exact_dedup.keep_first(frame).collect())) == one
+    assert Counter(map(tuple, ngram_join.keep_one(frame).collect())) == one
+    mixed = mixing.mix(frame, mixing.MixPlan(budget_share=1.0, max_epochs=1, domain_weights={}, lang_weights={}), epoch="nth")
+    assert mixed.columns == [*frame.columns, "nth"] and Counter(tuple(r)[:-1] for r in mixed.collect()) == rows
+    hidden = pii.pseudonymise(frame, KEY, entities="found")
+    assert hidden.columns == [*frame.columns, "found"] and Counter(tuple(r)[:-1] for r in hidden.collect()) == rows
+    for wrong in (lambda: mixing.mix(frame), lambda: pii.pseudonymise(frame, KEY), lambda: quality.score(frame, {})):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "a\\b <|end|>\n<|turn|>user<|says|>", "\\l<| |> <<SYS>> <</SYS>>", "", None, "plain\ntext"]
     for t in texts:
@@ -311,7 +459,7 @@ def test_warc(spark, monkeypatch):
 def test_pii(spark, docs, nothing):
     cases = ["mail anna.16@mail8.example.com now", "call +1 (017) 555-7713.", "from 169.122.221.182 to 10.0.0.1", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "card 4242424242424242!", "Dear Mrs. Alice Smith and Mr Smith"]
     rows = [(k, t, "en", "s", 1) for k, t in enumerate([*cases, *cases, None, "", "nothing here"])]
-    made = pii.pseudonymise(spark.createDataFrame(rows, DOCS))
+    made = pii.pseudonymise(spark.createDataFrame(rows, DOCS), KEY)
     got = {r["doc_id"]: r for r in made.collect()}
     for k, t in enumerate(cases):
         assert got[k]["text"] == got[k + len(cases)]["text"] != t and (k == 2 or len(got[k]["text"]) == len(t))
@@ -321,8 +469,8 @@ def test_pii(spark, docs, nothing):
     assert names[0]["surrogate"] in pii.GIVEN["f"] and names[1]["surrogate"] == names[2]["surrogate"]
     assert pii.collisions(made).isEmpty() and got[12]["text"] is None
     assert len({pii.shifted(x, 97, b"k") for x in range(97)}) == 97 and all(pii.shifted(x, 97, b"k") != x for x in range(97))
-    assert len({pii.surrogate("given", n, gender="m") for n in [*pii.GIVEN["m"], "Zed", "Bob"]}) == 22
-    assert pii.pseudonymise(nothing).count() == 0
+    assert len({pii.surrogate("given", n, KEY) for n in [*pii.GIVEN["m"], "Zed", "Bob"]}) == 22
+    assert pii.pseudonymise(nothing, KEY).count() == 0
 
 
 def test_ego_join(spark):
@@ -361,14 +509,35 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 def test_pii_names(spark):
     text = "Dr Anna Meyer met Frau Anna Meyer. Anna left, Meyer stayed, Annabel too; Mr Ben Low, Dr Ben Low, Mrs Ben Low."
-    made = pii.rewrite(text)
+    made = pii.rewrite(text, KEY)
     of = {(k, e): set() for k, e, _ in made[1]}
     for k, e, s in made[1]:
         of[k, e].add(s)
     assert set(map(len, of.values())) == {1} and len(made[1]) == 12 and len(of) == 4
     assert "Annabel" in made[0] and not any(w in made[0].replace("Annabel", "").split() for w in ("Anna", "Meyer", "Ben", "Low"))
     shapes = [a + b + c for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"]
-    assert len({pii.surrogate("given", n, gender="m" if k % 2 else "f") for k, n in enumerate(shapes)}) == len(shapes)
+    assert len({pii.surrogate("given" if k % 2 else "surname", n, KEY) for k, n in enumerate(shapes)}) == len(shapes)
+    # One identity a name: alone, with a surname, hyphenated, as a part; listed ones keep their gender.
+    text = "Dr Maria called. Dr Maria Lopez-Klein and Mrs Lopez met Maria; Klein left. Mr Zed, then Mr Zed Maria."
+    told = pii.rewrite(text, KEY)[1]
+    by = {(e, n) for _, e, n in told}
+    assert len({e for e, _ in by}) == len(by) and {e for e, _ in by} == {"Maria", "Lopez-Klein", "Lopez", "Klein", "Zed"} and len(told) == 9
+    one = dict(by)
+    assert one["Lopez-Klein"] == f"{one['Lopez']}-{one['Klein']}" and one["Maria"] in pii.GIVEN["f"]
+
+
+def test_pii_other_scripts():
+    """No letter of a name is left for want of an alphabet; forms without another member are masked."""
+    for name in ("李雷", "Łukasz Żak", "Δημητρίου", "Ольга Ёжик", "Ĳsbrand", "محمد", "Ø", "E\u0301lan"):
+        made, told = pii.rewrite(f"Mr {name} here", KEY)
+        assert told and not set(name.replace(" ", "").replace("\u0301", "")) & set(made[3:-5].replace("\u0301", "")) or all(a != b for _, a, b in told), name
+        for _, a, b in told:
+            assert len(a) == len(b) and all(x == y or (x.isupper(), x.isalpha()) == (y.isupper(), y.isalpha()) for x, y in zip(a, b, strict=True))
+    made, told = pii.rewrite("write иван@почта.рф or ivan@mail.example", KEY)
+    assert [k for k, _, _ in told] == ["email", "email"] and "иван" not in made and made.endswith(".example") and ".рф " in made
+    block = [chr(k) for k in range(0x141, 0x17E) if chr(k).isupper()]
+    assert len({pii.surrogate("surname", a + b, KEY) for a in block for b in block}) == len(block) ** 2
+    assert pii.surrogate("secret", "++++----", KEY) == "[secret]"
 
 
 def test_pii_takes_another_key_on_collision(spark, monkeypatch):
@@ -383,21 +552,20 @@ def test_pii_takes_another_key_on_collision(spark, monkeypatch):
 
     monkeypatch.setattr(pii, "pseudonymise", poor)
     docs = spark.createDataFrame([(1, "Mr Ben Low"), (2, "Mr Tim Low"), (3, "1.2.3.4 and 01.2.3.4 and Dr Ø")], "doc_id long, text string")
-    got = pii.checked(docs).collect()
+    got = pii.checked(docs, KEY).collect()
     assert len(seen) == 2 and len(set(seen)) == 2 and len(got) == 3
     with pytest.raises(ValueError):
         seen.clear()
-        pii.checked(docs, tries=1)
+        pii.checked(docs, KEY, tries=1)
 
 
 def test_pii_hex_without_digits():
     for text in ("deadbeefdeadbeef", "deadbeef" * 4, "DEADBEEF" * 4, "1234" * 8, "dead1234"):
-        made = pii.rewrite(f"token = {text}")[1]
+        made = pii.rewrite(f"token = {text}", KEY)[1]
         assert len(made) == 1 and made[0][0] == "hex" and made[0][2] != text and len(made[0][2]) == len(text)
         assert (made[0][2].isalpha(), made[0][2].isdigit()) == (text.isalpha(), text.isdigit())
     turns = iter([True, False] * 200_000)
-    with pytest.raises(ValueError):
-        pii.reshape("11", b"k", "x", lambda t: next(turns))
+    assert pii.reshape("11", b"k", "x", lambda t: next(turns)) is None
 
 
 def test_pii_more_forms():
@@ -407,14 +575,14 @@ def test_pii_more_forms():
     }
     for kind, texts in cases.items():
         for t in texts:
-            made, told = pii.rewrite(f"see {t}, then.")
+            made, told = pii.rewrite(f"see {t}, then.", KEY)
             assert [(k, e) for k, e, _ in told] == [(kind, t)], t
             assert made == f"see {told[0][2]}, then." and told[0][2] != t
-            assert [k for _, _, k, _ in pii.find_entities(made)] == [kind]
+            assert [k for _, _, k in pii.find_entities(made)] == [kind]
     for t in ("at 12:30:45 on 2024-01-15, std::vector", "in 05 2024 (1999) 123-145", "DE00 3704 0044", "0.5 or 0,25 and 1999 123456"):
         assert pii.find_entities(t) == [], t
-    assert len({pii.surrogate("ipv6", f"2001:db8::{x:x}") for x in range(16)} | {pii.surrogate("ipv6", f"2001:DB8::{x:X}") for x in range(16)}) == 32
-    assert len({pii.surrogate("phone", f"(0{x:02d}) 5") for x in range(100)} | {pii.surrogate("phone", f"({x:03d}) 5") for x in range(100, 1000)}) == 1000
+    assert len({pii.surrogate("ipv6", f"2001:db8::{x:x}", KEY) for x in range(16)} | {pii.surrogate("ipv6", f"2001:DB8::{x:X}", KEY) for x in range(16)}) == 32
+    assert len({pii.surrogate("phone", f"(0{x:02d}) 5", KEY) for x in range(100)} | {pii.surrogate("phone", f"({x:03d}) 5", KEY) for x in range(100, 1000)}) == 1000
 
 
 def test_index_demands_batch_names(spark, tmp_path):
