@@ -1,7 +1,9 @@
 """Chat formatting with compiled templates, and reading the format back.
 
 A conversation's rows are brought together by a shuffle on conv_id and sorted by turn inside the
-partition; a worker then renders turn by turn as rows stream by, holding one conversation at a time.
+partition; a worker then renders turn by turn as rows stream by. A long conversation comes out as
+segments of whole turns, and what is read back is digested segment by segment, so neither holds more
+than a segment and a turn, however many turns a conversation has.
 
 Control strings inside roles and texts are escaped with a backslash: a backslash is doubled, and the
 first letter of a control string is written as a backslash and a letter of its own. No control
@@ -49,9 +51,13 @@ def unescape(text: str) -> str:
     return _SHUT.sub(lambda m: _BACK[m[1]], text)
 
 
+#: Characters after which a segment ends with its turn.
+SEGMENT = 4_000_000
+
+
 @dataclass
 class Formatted:
-    """What one conversation became: its text, and the spans of it that are to be learnt."""
+    """What a conversation's turns became: a segment's text, and the spans of it that are to be learnt."""
 
     parts: list[str] = field(default_factory=list)
     spans: list[tuple[int, int]] = field(default_factory=list)
@@ -76,18 +82,14 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _READ.finditer(formatted)]
 
 
-def format_conversations(rows: DataFrame, turn_template: str = TURN) -> DataFrame:
-    """``rows(conv_id, turn, role, text)`` to conv_id, formatted, loss_starts, loss_ends (code points)."""
+def format_conversations(rows: DataFrame, turn_template: str = TURN, segment: int = SEGMENT) -> DataFrame:
+    """``rows(conv_id, turn, role, text)`` to conv_id, segment (from 0), formatted, loss_starts, loss_ends (code points in the segment); segments in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = compile_template(turn_template, {"escape": escape})
-        names = ["conv_id", "formatted", "loss_starts", "loss_ends"]
+        names = ["conv_id", "segment", "formatted", "loss_starts", "loss_ends"]
         done: list[tuple] = []
-        size, now, made = 0, None, None
-
-        def close() -> int:
-            done.append((now[0], made.text(), [a for a, _ in made.spans], [b for _, b in made.spans]))
-            return made.length
+        size, now, n, made = 0, None, 0, Formatted()
 
         def frame() -> pd.DataFrame:
             out = pd.DataFrame(done, columns=names)
@@ -98,43 +100,65 @@ def format_conversations(rows: DataFrame, turn_template: str = TURN) -> DataFram
         for batch in batches:
             for conv, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
                 key = (None if pd.isna(conv) else int(conv),)
-                if key != now:
-                    if now is not None:
-                        size += close()
-                    if size > 8_000_000:
+                if now is not None and (key != now or made.length >= segment):
+                    done.append((now[0], n, made.text(), [a for a, _ in made.spans], [b for _, b in made.spans]))
+                    size += made.length
+                    made, n = Formatted(), n + 1 if key == now else 0
+                    if size > segment:
                         yield frame()
                         size = 0
-                    now, made = key, Formatted()
-                made.add(render({"role": role, "text": text, "first": not made.parts}))
+                made.add(render({"role": role, "text": text, "first": key != now}))
+                now = key
         if now is not None:
-            close()
+            done.append((now[0], n, made.text(), [a for a, _ in made.spans], [b for _, b in made.spans]))
         yield frame()
 
     rows = rows.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.drop("turn").mapInPandas(run, "conv_id long, formatted string, loss_starts array<int>, loss_ends array<int>")
+    return rows.drop("turn").mapInPandas(run, "conv_id long, segment int, formatted string, loss_starts array<int>, loss_ends array<int>")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted text and its loss spans say."""
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """conv_id and digests of what the formatted text and its loss spans say.
+
+    ``in_order``: the segments come straight from ``format_conversations``, not from a table.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = said = learnt = None
+        turns = chars = length = 0
+
+        def close(out: list[tuple]) -> None:
+            if now is not None:
+                out.append((now[0], turns, said.hexdigest(), chars, learnt.hexdigest(), length))
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            made["conv_id"] = made["conv_id"].astype("Int64")
+            return made
+
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for conv, text, starts, ends in zip(*(batch[c] for c in ("conv_id", "formatted", "loss_starts", "loss_ends")), strict=True):
-                turns = read_turns(text)
-                said, learnt, chars = hashlib.sha256(), hashlib.sha256(), 0
-                for role, words in turns:
+                key = (None if pd.isna(conv) else int(conv),)
+                if key != now:
+                    close(out)
+                    now, said, learnt, turns, chars, length = key, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                for role, words in read_turns(text):
                     said.update(f"{role}\n{words}\n".encode("utf-8", "surrogatepass"))
+                    turns += 1
                 for a, b in zip(starts, ends, strict=True):
                     words = unescape(text[a:b])
                     chars += len(words)
                     learnt.update(words.encode("utf-8", "surrogatepass"))
-                out.append((conv, len(turns), said.hexdigest(), chars, learnt.hexdigest(), len(text)))
-            made = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            made["conv_id"] = made["conv_id"].astype("Int64")
-            yield made
-
+                length += len(text)
+            yield frame(out)
+        out = []
+        close(out)
+        yield frame(out)
+
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -144,7 +168,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(rows.unionByName(probe)))
+    return read_back(format_conversations(rows.unionByName(probe)), in_order=True)
 
 
 _ESCAPED = "coalesce(text, '')"

@@ -10,8 +10,12 @@ mappings and lists, filters come from a fixed table.
     {% generation %}..{% endgeneration %}     marks what a model is to learn to say
 
 Expressions: strings, whole numbers, true, false, none, names, ``.``, ``[]``, ``not``, ``and``,
-``or``, ``in``, ``== != < <= > >=``, ``+ - ~``, parentheses, ``| filter``. Inside a loop,
-``loop.index``, ``loop.first`` and ``loop.last`` are known.
+``or``, ``in``, ``not in``, ``== != < <= > >=``, ``+ - ~``, parentheses, ``| filter``. Inside a
+loop, ``loop.index``, ``loop.first`` and ``loop.last`` are known.
+
+A template that can't be read raises TemplateError when it is compiled. One that meets values which
+an operator or filter can't take, makes a text longer than ``MOST_CHARS`` or takes more than
+``MOST_STEPS`` rounds of its loops raises it when it is rendered, if it gets there.
 """
 
 from __future__ import annotations
@@ -29,20 +33,33 @@ class TemplateError(ValueError):
     pass
 
 
-_PIECE = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+#: Bounds of one rendering.
+MOST_CHARS, MOST_STEPS = 50_000_000, 1_000_000
+
+_QUOTED = r"""(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')"""
+_PIECE = re.compile(rf"(\{{\{{(?:{_QUOTED}|(?!\}}\}})[^'\"])*\}}\}}|\{{%(?:{_QUOTED}|(?!%\}})[^'\"])*%\}}|\{{#.*?#\}})", re.S)
+_OPENED = re.compile(r"\{[{%#]")
+#: What operators and filters raise on values that they can't take.
+_UNFIT = (TypeError, ValueError, LookupError, ArithmeticError, AttributeError)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>()\[\].|]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", '"': '"', "'": "'"}
 _BINARY: dict[str, Callable[[Any, Any], Any]] = {
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
-    "+": operator.add, "-": operator.sub, "~": lambda a, b: _text(a) + _text(b), "in": lambda a, b: a in b,
+    "+": lambda a, b: _short(a + b), "-": operator.sub, "~": lambda a, b: _short(_text(a) + _text(b)), "in": lambda a, b: a in b, "not in": lambda a, b: a not in b,
 }
-_LEVELS = (("or",), ("and",), ("not",), ("in", "==", "!=", "<", "<=", ">", ">="), ("+", "-", "~"))
+_LEVELS = (("or",), ("and",), ("not",), ("in", "not", "==", "!=", "<", "<=", ">", ">="), ("+", "-", "~"))
 
 
 def _text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
+def _short(value: Any) -> Any:
+    if isinstance(value, (str, list, tuple)) and len(value) > MOST_CHARS:
+        raise TemplateError(f"a value is longer than {MOST_CHARS}")
+    return value
+
+
 FILTERS: dict[str, Callable[[Any], Any]] = {"trim": lambda v: _text(v).strip(), "upper": lambda v: _text(v).upper(), "lower": lambda v: _text(v).lower(), "length": len, "string": _text}
 
 
@@ -88,6 +105,9 @@ class _Expression:
         node = self.level(k + 1)
         while self.peek() in _LEVELS[k]:
             op = self.next()[1]
+            if op == "not":
+                self.want("in")
+                op = "not in"
             node = (op if op in ("and", "or") else "binary", *(() if op in ("and", "or") else (op,)), node, self.level(k + 1))
         return node
 
@@ -139,6 +159,8 @@ def parse(source: str) -> Node:
                     return ("block", tuple(items)), words
                 items.append(statement(head, rest))
             elif piece:
+                if opened := _OPENED.search(piece):
+                    raise TemplateError(f"{opened[0]!r} is not closed")
                 items.append(("print", ("const", piece)))
         if ends:
             raise TemplateError(f"{ends[-1]} is missing")
@@ -184,13 +206,18 @@ def fold(node: Node, filters: Mapping[str, Callable]) -> Node:
                         x = ("print", ("const", out.pop()[1][1] + x[1][1]))
                 out.append(x)
         return ("block", tuple(out))
-    node = tuple(fold(x, filters) if isinstance(x, tuple) else x for x in node)
     if kind == "if":
-        return (node[2] if node[1][1] else node[3]) if node[1][0] == "const" else node
+        test = fold(node[1], filters)
+        if test[0] == "const":
+            return fold(node[2] if test[1] else node[3], filters)
+    node = tuple(fold(x, filters) if isinstance(x, tuple) else x for x in node)
     if kind in ("and", "or") and node[1][0] == "const":
         return node[2] if bool(node[1][1]) == (kind == "and") else node[1]
     if kind in ("not", "binary", "get", "filter") and all(x[0] == "const" for x in node if isinstance(x, tuple)):
-        return ("const", _expression(node, filters)({}))
+        try:
+            return ("const", _expression(node, filters)({}))
+        except _UNFIT:  # an error only if rendering gets there
+            return node
     return node
 
 
@@ -232,45 +259,63 @@ def _expression(node: Node, filters: Mapping[str, Callable]) -> Callable[[Mappin
     return get
 
 
-def _statement(node: Node, filters: Mapping[str, Callable]) -> Callable[[dict, list[Part], bool], None]:
+class _Parts(list):
+    """What was rendered, counted as it grows."""
+
+    chars = steps = 0
+
+    def add(self, text: str, mark: bool) -> None:
+        self.chars += len(text)
+        if self.chars > MOST_CHARS:
+            raise TemplateError(f"the text is longer than {MOST_CHARS}")
+        self.append((text, mark))
+
+    def step(self) -> None:
+        self.steps += 1
+        if self.steps > MOST_STEPS:
+            raise TemplateError(f"more than {MOST_STEPS} rounds of loops")
+
+
+def _statement(node: Node, filters: Mapping[str, Callable]) -> Callable[[dict, _Parts, bool], None]:
     kind = node[0]
     if kind == "block":
         steps = [_statement(x, filters) for x in node[1]]
 
-        def run(c: dict, out: list[Part], mark: bool) -> None:
+        def run(c: dict, out: _Parts, mark: bool) -> None:
             for step in steps:
                 step(c, out, mark)
 
     elif kind == "print":
         value = _expression(node[1], filters)
 
-        def run(c: dict, out: list[Part], mark: bool) -> None:
-            out.append((_text(value(c)), mark))
+        def run(c: dict, out: _Parts, mark: bool) -> None:
+            out.add(_text(value(c)), mark)
 
     elif kind == "generation":
         body = _statement(node[1], filters)
 
-        def run(c: dict, out: list[Part], mark: bool) -> None:
+        def run(c: dict, out: _Parts, mark: bool) -> None:
             body(c, out, True)
 
     elif kind == "set":
         name, value = node[1], _expression(node[2], filters)
 
-        def run(c: dict, out: list[Part], mark: bool) -> None:
+        def run(c: dict, out: _Parts, mark: bool) -> None:
             c[name] = value(c)
 
     elif kind == "if":
         test, yes, no = _expression(node[1], filters), _statement(node[2], filters), _statement(node[3], filters)
 
-        def run(c: dict, out: list[Part], mark: bool) -> None:
+        def run(c: dict, out: _Parts, mark: bool) -> None:
             (yes if test(c) else no)(c, out, mark)
 
     else:
         name, over, body = node[1], _expression(node[2], filters), _statement(node[3], filters)
 
-        def run(c: dict, out: list[Part], mark: bool) -> None:
+        def run(c: dict, out: _Parts, mark: bool) -> None:
             items = over(c) or ()
             for k, item in enumerate(items):
+                out.step()
                 body({**c, name: item, "loop": {"index": k + 1, "first": k == 0, "last": k + 1 == len(items)}}, out, mark)
 
     return run
@@ -282,8 +327,13 @@ def compile_template(source: str, filters: Mapping[str, Callable] | None = None)
     run = _statement(fold(parse(source), known), known)
 
     def render(variables: Mapping[str, Any]) -> list[Part]:
-        out: list[Part] = []
-        run(dict(variables), out, False)
+        out = _Parts()
+        try:
+            run(dict(variables), out, False)
+        except TemplateError:
+            raise
+        except _UNFIT as e:
+            raise TemplateError(f"can't render: {e}") from e
         return out
 
     return render

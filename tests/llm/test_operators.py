@@ -423,15 +423,32 @@ def test_chat(spark):
     assert [chat.unescape(by[1]["formatted"][a:b]) for a, b in zip(by[1]["loss_starts"], by[1]["loss_ends"], strict=True)] == [t or "" for t in texts[1::2]]
     assert chat.read_turns(by[2]["formatted"]) == [("user", "a"), ("user", "b")] and set(by) == {1, 2, None}
     assert chat.read_back(made.limit(0)).count() == 0
+    # Segments of a few turns say what whole conversations say, straight away and from a shuffled table.
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(chat.read_back(made).collect(), key=repr)
+    short = chat.format_conversations(frame, segment=40)
+    assert short.where("conv_id = 1").count() > 2
+    assert sorted(chat.read_back(short, in_order=True).collect(), key=repr) == sorted(chat.read_back(short.repartition(5)).collect(), key=repr) == want
 
 
-def test_templates():
+def test_templates(monkeypatch):
     run = lambda t, **v: "".join(p for p, _ in template.compile_template(t)(v))
     assert run("{% for m in ms %}{{ loop.index }}{{ m.x | upper }}{% if not loop.last %},{% endif %}{% endfor %}", ms=[{"x": "a"}, {"x": "b"}]) == "1A,2B"
     assert run("{% set a = 1 + 2 %}{{ a }}{% if a == 3 and 'b' in 'abc' %}y{% elif a %}e{% else %}n{% endif %}{# no #}") == "3y"
     assert template.fold(template.parse("a{{ 'b' ~ (1 + 1) }}{% if 1 == 2 %}x{% endif %}c"), template.FILTERS)[1].__len__() == 1
     assert template.compile_template("u{% generation %}g{{ x }}{% endgeneration %}")({"x": "h"}) == [("u", False), ("g", True), ("h", True)]
-    for bad in ("{{ a b }}", "{% for x %}{% endfor %}", "{% if a %}", "{{ x.__class__.__mro__() }}", "{{ 'x' | no }}"):
+    assert run("{{ '}}' }}{% if '%}' in x %}y{% endif %}{{ \"it's\" }}", x="a%}") == "}}yit's"
+    assert run("{% if 'a' not in x and not 'b' in x %}y{% endif %}", x="cd") == "y"
+    assert run("{% if false %}{{ 1 + 'a' }}{{ none | length }}{% endif %}x") == "x"
+    for late in ("{{ 1 + 'a' }}", "{{ none | length }}", "{{ x | length }}", "{% for a in x %}{% endfor %}", "{{ 'a' in 1 }}", "{% set a = 'ab' %}{% for i in y %}{% set b = a ~ a %}{{ a }}{% endfor %}"):
+        render = template.compile_template(late)
+        with pytest.raises(template.TemplateError):
+            monkeypatch.setattr(template, "MOST_CHARS", 100)
+            render({"x": 5, "y": [0] * 200})
+    monkeypatch.setattr(template, "MOST_STEPS", 50)
+    with pytest.raises(template.TemplateError):
+        run("{% for i in y %}{% for j in y %}{% endfor %}{% endfor %}", y=[0] * 20)
+    for bad in ("{{ 'a }}", "{{ a", "{% if a", "{{ a not b }}", "{{ a b }}", "{% for x %}{% endfor %}", "{% if a %}", "{{ x.__class__.__mro__() }}", "{{ 'x' | no }}"):
         with pytest.raises(template.TemplateError):
             template.compile_template(bad)
     assert run("{{ x.__class__ }}", x="s") == ""
