@@ -1,11 +1,14 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-Unit vectors of cosine t or more are at most eps = sqrt(2 - 2 t) apart. Vectors are turned onto
-their principal axes, which keeps distances, and ordered by label and by the cells, eps wide, of
-the leading axes. Runs of that order are blocks, each with its bounding box. Two blocks of a label
-whose boxes are farther apart than eps hold no link and never meet; those that may are joined
-recursively: halves of halves, skipping what is provably distant, down to products of small
-matrices in double precision. Only a count and one link per row leave a task.
+Unit vectors of cosine t or more are at most eps = sqrt(2 - 2 t) apart, and their projections on
+any orthonormal axes no farther. The axes are leading principal ones of a bounded sample; they
+decide how much is skipped, never what is found. Vectors are ordered by label and by the cells, eps
+wide, of their leading projections. Runs of that order are blocks, runs of blocks are tiles, each
+with the bounding box of its projections. Two tiles of a label whose boxes are farther apart than
+eps hold no link and never meet. Tiles that may are joined recursively: blocks, then halves of
+halves, skipping what is provably distant, down to products of small matrices in double precision.
+A tile's vectors are copied once per tile that it meets, and a count and one link per vector and
+pair of tiles leave a task.
 
 Defined cases: null labels, null vectors, zero vectors and vectors with null, NaN or infinite parts
 link with nothing; vectors of different lengths don't link; a null vec_id links with nothing; rows
@@ -23,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm.ngram_join import local_roots
+from slackline.llm.groups import whole_groups
 from slackline.operators.components import connected_components
 from slackline.plans.scratch import Scratch
 
 COSINE = 0.93
-#: Leading axes of the grid order; axes of the bounding boxes; rows of a block and of a leaf.
-GRID, BOX, BLOCK, LEAF = 4, 16, 1024, 128
+#: Leading axes of the grid order; axes of the bounding boxes; rows of a block and of a leaf; bytes of a block and of a tile.
+GRID, BOX, BLOCK, LEAF, BLOCK_BYTES, TILE_BYTES = 4, 16, 1024, 128, 2 << 20, 16 << 20
+#: Rows and bytes of the sample that the axes come from.
+SAMPLE, SAMPLE_BYTES = 4096, 16 << 20
 
 
 def _unit(batch: pd.DataFrame) -> np.ndarray:
@@ -46,37 +51,36 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def principal_axes(rows: DataFrame) -> dict[int, np.ndarray]:
-    """By vector length, the axes as columns, leading first. Sums are taken over all rows; dim squared numbers reach the driver."""
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                x = np.column_stack([_unit(part), np.ones(len(part))])
-                sums[dim] = sums.get(dim, 0) + x.T @ x
-        out = [(dim, i, m[i].tolist()) for dim, m in sums.items() for i in range(len(m))]
-        yield pd.DataFrame(out, columns=["dim", "i", "row"])
-
-    cells = rows.select("dim", "v").mapInPandas(moments, "dim int, i int, row array<double>").select("dim", "i", F.posexplode("row").alias("j", "x"))
-    found: dict[int, np.ndarray] = {}
-    got = cells.groupBy("dim", "i", "j").agg(F.sum("x").alias("x")).toPandas()
+    """By vector length, at most BOX orthonormal axes as columns, leading first, from a sample of at most SAMPLE rows and SAMPLE_BYTES.
+
+    Lengths that the sample has few rows of get the plain leading coordinates.
+    """
+    most = rows.agg(F.max("dim")).first()[0] or 1
+    least = min(SAMPLE, max(1, SAMPLE_BYTES // (8 * most)))
+    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("dim", "v").limit(least).toPandas()
+    found = {}
     for dim, part in got.groupby("dim"):
-        m = np.zeros((dim + 1, dim + 1))
-        m[part["i"], part["j"]] = part["x"]
-        mean = m[-1, :-1] / m[-1, -1]
-        found[int(dim)] = np.linalg.eigh(m[:-1, :-1] / m[-1, -1] - np.outer(mean, mean))[1][:, ::-1].copy()
+        x = _unit(part)
+        if len(x) >= 4 * BOX:
+            x = x - x.mean(axis=0)
+            found[int(dim)] = np.linalg.svd(x, full_matrices=False)[2][:BOX].T.copy()
     return found
 
 
+def _projected(y: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    held = axes.get(y.shape[1])
+    return y[:, :BOX] if held is None else y @ held
+
+
 def in_grid_order(rows: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
-    """vec_id, label, dim, cells, y: unit vectors on the axes, range-partitioned and sorted by grid order."""
+    """vec_id, label, dim, y: unit vectors, range-partitioned and sorted by grid order."""
     held = rows.sparkSession.sparkContext.broadcast(axes)
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                y = _unit(part) @ held.value[dim]
-                cells = np.floor(y[:, :GRID] / eps).astype(np.int32)
+            for _, part in batch.groupby("dim"):
+                y = _unit(part)
+                cells = np.floor(_projected(y, held.value)[:, :GRID] / eps).astype(np.int32)
                 cells = np.pad(cells, ((0, 0), (0, GRID - cells.shape[1])))
                 out = part[["vec_id", "label", "dim"]].copy()
                 for k in range(GRID):
@@ -91,52 +95,63 @@ def in_grid_order(rows: DataFrame, axes: dict[int, np.ndarray], eps: float) -> D
     return turned.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def cut_blocks(ordered: DataFrame) -> DataFrame:
-    """block, label, dim, low, high (box), ids, ys: runs of the order, at most BLOCK rows of one label and length."""
+def cut_blocks(ordered: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """tile, block, label, dim, low, high (box), ids, ys: runs of the order, of one label and length."""
     kind = ordered.schema["label"].dataType.simpleString()
+    held = ordered.sparkSession.sparkContext.broadcast(axes)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        n = TaskContext.get().partitionId() << 32
+        n = tile = TaskContext.get().partitionId() << 32
+        filled, now = 0, None
         for batch in batches:
             key = batch["label"].astype(str) + " " + batch["dim"].astype(str)
-            out = []
+            out, size = [], 0
             for run in (key != key.shift()).cumsum().to_frame("r").groupby("r").indices.values():
-                for lo in range(0, len(run), BLOCK):
-                    part = batch.iloc[run[lo : lo + BLOCK]]
-                    y = np.frombuffer(b"".join(part["y"]), dtype=np.float64).reshape(len(part), -1)
-                    out.append((n, part["label"].iloc[0], int(part["dim"].iloc[0]), y[:, :BOX].min(axis=0), y[:, :BOX].max(axis=0), part["vec_id"].to_numpy().tobytes(), y.tobytes()))
-                    n += 1
-            yield pd.DataFrame(out, columns=["block", "label", "dim", "low", "high", "ids", "ys"])
-
-    return ordered.select("vec_id", "label", "dim", "y").mapInPandas(cut, f"block long, label {kind}, dim int, low array<double>, high array<double>, ids binary, ys binary")
-
-
-def near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
-    """a, b (a <= b): blocks of a label and length whose boxes are within eps of each other."""
-    box = blocks.select("block", "label", "dim", "low", "high")
+                label, dim = batch["label"].iloc[run[0]], int(batch["dim"].iloc[run[0]])
+                step = max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))
+                for lo in range(0, len(run), step):
+                    part = batch.iloc[run[lo : lo + step]]
+                    ys = b"".join(part["y"])
+                    if now != (label, dim) or filled + len(ys) > TILE_BYTES:
+                        tile, filled, now = n, 0, (label, dim)
+                    p = _projected(np.frombuffer(ys, dtype=np.float64).reshape(len(part), -1), held.value)
+                    out.append((tile, n, label, dim, p.min(axis=0), p.max(axis=0), part["vec_id"].to_numpy().tobytes(), ys))
+                    n, filled, size = n + 1, filled + len(ys), size + len(ys)
+                    if size > TILE_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["tile", "block", "label", "dim", "low", "high", "ids", "ys"]
+    return ordered.select("vec_id", "label", "dim", "y").mapInPandas(cut, f"tile long, block long, label {kind}, dim int, low array<double>, high array<double>, ids binary, ys binary")
+
+
+def near_tiles(blocks: DataFrame, eps: float) -> DataFrame:
+    """a, b (a <= b): tiles of a label and length whose boxes are within eps of each other."""
+    corner = lambda f, c: F.array(*(f(F.get(c, F.lit(k))) for k in range(BOX)))
+    box = blocks.groupBy("tile", "label", "dim").agg(corner(F.min, "low").alias("low"), corner(F.max, "high").alias("high"))
     cell = lambda c: F.floor(c / eps).cast("long")
     left = box.withColumn("cell", F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))))
     right = box.withColumn("cell", F.explode(F.sequence(cell(F.col("low")[0] - eps), cell(F.col("high")[0] + eps))))
-    right = right.select("label", "dim", "cell", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    met = left.withColumnRenamed("block", "a").join(right, ["label", "dim", "cell"]).where("a <= b")
-    gap = F.aggregate(
+    right = right.select("label", "dim", "cell", F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    met = left.withColumnRenamed("tile", "a").join(right, ["label", "dim", "cell"]).where("a <= b")
+    gap = F.aggregate(  # axes beyond a short vector's length are null and far from nothing
         F.arrays_zip("low", "high", "low_b", "high_b"), F.lit(0.0),
         lambda s, d: s + F.pow(F.greatest(d["low"] - d["high_b"], d["low_b"] - d["high"], F.lit(0.0)), 2),
     )
     return met.where(gap <= eps * eps).select("a", "b").distinct()
 
 
-def sequence_join(x: np.ndarray, y: np.ndarray, cosine: float, eps: float, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of x and y with cosine at least ``cosine``; if same, each once."""
+def sequence_join(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, cosine: float, eps: float, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of x and y, with projections p and q, of cosine at least ``cosine``; if same, each once."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def meet(a: int, b: int, c: int, d: int) -> None:
         if same and d <= a:
             return
-        p, q = x[a:b, :BOX], y[c:d, :BOX]
-        gap = np.maximum(0, np.maximum(p.min(axis=0) - q.max(axis=0), q.min(axis=0) - p.max(axis=0)))
+        gap = np.maximum(0, np.maximum(p[a:b].min(axis=0) - q[c:d].max(axis=0), q[c:d].min(axis=0) - p[a:b].max(axis=0)))
         if (gap * gap).sum() > eps * eps:
             return
         if max(b - a, d - c) <= LEAF:
@@ -158,34 +173,70 @@ def sequence_join(x: np.ndarray, y: np.ndarray, cosine: float, eps: float, same:
     return out
 
 
+def reach(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 .. n - 1 that each reaches over the edges a, b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def embedding_links(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE) -> DataFrame:
-    """vec_id, links, root: partial counts by pair of blocks, and a row that links connect it to."""
+    """vec_id, links, root: partial counts by pair of tiles, and a vector that links connect it to."""
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
     rows = usable(vectors)
-    blocks = scratch.save(cut_blocks(in_grid_order(rows, principal_axes(rows), eps)), "blocks")
-    pairs = scratch.save(near_blocks(blocks, eps), "pairs")
-    of = lambda s: blocks.select(F.col("block").alias(s), "dim" if s == "a" else F.lit(0).alias("_"), F.col("ids").alias(f"ids_{s}"), F.col("ys").alias(f"ys_{s}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "dim", "ids_a", "ys_a", "ids_b", "ys_b")
+    axes = principal_axes(rows)
+    blocks = scratch.save(cut_blocks(in_grid_order(rows, axes, eps), axes), "blocks")
+    pairs = scratch.save(near_tiles(blocks, eps), "pairs")
+    both = pairs.select(F.struct("a", "b").alias("g"), F.explode(F.expr("if(a = b, array(struct(a AS tile, 0 AS side)), array(struct(a AS tile, 0 AS side), struct(b AS tile, 1 AS side)))")).alias("s"))
+    dealt = both.select(F.xxhash64("g").alias("g"), "g.a", "g.b", "s.tile", "s.side").join(blocks.select("tile", "block", "dim", "ids", "ys"), "tile").select("g", "a", "b", "side", "block", "dim", "ids", "ys")
+    held = rows.sparkSession.sparkContext.broadcast(axes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x, y = (np.frombuffer(v, dtype=np.float64).reshape(-1, r.dim) for v in (r.ys_a, r.ys_b))
-                ids = np.concatenate([np.frombuffer(r.ids_a, dtype=np.int64), np.frombuffer(r.ids_b, dtype=np.int64) if r.a != r.b else np.zeros(0, dtype=np.int64)])
-                found = sequence_join(x, y, cosine, eps, r.a == r.b)
-                if not found:
-                    continue
-                i, j = (np.concatenate(v) for v in zip(*found, strict=True))
-                j = j + (len(x) if r.a != r.b else 0)
-                other = ids[i] != ids[j]
-                i, j = i[other], j[other]
-                used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-                linked = np.zeros((len(used), len(used)), dtype=bool)
-                linked[place[: len(i)], place[len(i) :]] = True
-                linked |= linked.T
-                yield pd.DataFrame({"vec_id": ids[used], "links": linked.sum(axis=1).astype(np.int64), "root": ids[used][local_roots(linked)]})
-
-    return scratch.save(met.mapInPandas(run, "vec_id long, links long, root long"), "links")
+        for frame in whole_groups(batches, "a", "b"):
+            for _, part in frame.groupby(["a", "b"], sort=False):
+                found = _tile_links(part, held.value, cosine, eps)
+                if found is not None:
+                    yield found
+
+    dealt = dealt.repartition("g").sortWithinPartitions("g", "a", "b", "side", "block")
+    return scratch.save(dealt.mapInPandas(run, "vec_id long, links long, root long"), "links")
+
+
+def _tile_links(rows: pd.DataFrame, axes: dict[int, np.ndarray], cosine: float, eps: float) -> pd.DataFrame | None:
+    """vec_id, links, root of the vectors of two tiles, or of one with itself, that link with any."""
+    y = [np.frombuffer(v, dtype=np.float64).reshape(-1, dim) for v, dim in zip(rows["ys"], rows["dim"], strict=True)]
+    p = [_projected(v, axes) for v in y]
+    ids = np.concatenate([np.frombuffer(v, dtype=np.int64) for v in rows["ids"]])
+    first = np.cumsum([0, *map(len, y)])
+    side = rows["side"].to_numpy()
+    links, ends = np.zeros(len(ids), dtype=np.int64), ([], [])
+    for s in range(len(y)):
+        for t in range(s, len(y)):
+            if side[s] == side[t] and (side == 1).any():  # within one tile only when it meets itself
+                continue
+            got = sequence_join(y[s], y[t], p[s], p[t], cosine, eps, s == t)
+            if not got:
+                continue
+            i, j = np.concatenate([a for a, _ in got]) + first[s], np.concatenate([b for _, b in got]) + first[t]
+            other = ids[i] != ids[j]
+            i, j = i[other], j[other]
+            links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            # Of this pair of blocks, only links that connect what they connect are kept.
+            used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            ends[0].append(used)
+            ends[1].append(used[reach(len(used), place[: len(i)], place[len(i) :])])
+    if not ends[0]:
+        return None
+    root = reach(len(ids), np.concatenate(ends[0]), np.concatenate(ends[1]))
+    linked = np.flatnonzero(links)
+    return pd.DataFrame({"vec_id": ids[linked], "links": links[linked], "root": ids[root[linked]]})
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -1,19 +1,23 @@
 """WARC archives as a chunked record table.
 
-A payload travels as rows of (record id, chunk number, bytes), at most CHUNK bytes a row, cut in
-the JVM. Writers take the rows sorted by record and chunk and stream them into one gzip member per
-record; readers stream members back into the same kind of rows, each carrying the byte count and
-digest up to and including its chunk. Neither holds a whole record. Archives go through
-pyarrow.fs to the folder that the cluster shares: each task writes a file under its attempt's name
-and renames it when it is complete, so a task that is run again replaces its file.
+What each record is, response or revisit, is decided on narrow rows of digests and written first;
+only then payloads are shuffled, once, to the records that carry them. A payload travels as rows of
+(record id, chunk number, bytes), at most CHUNK bytes a row, cut in the JVM and in order within
+their record. Writers stream the rows into one gzip member per record, and readers stream members
+back into the same kind of rows, each carrying the byte count and digest up to and including its
+chunk; both raise if a whole payload's digest is not the stated one. Neither holds a whole record.
+Archives go through pyarrow.fs to the folder that the cluster shares: each task writes a file under
+its attempt's name and renames it when it is complete, so a task that is run again replaces its
+file.
 
 Of records with equal payloads of at least ``least`` bytes, that of the largest page_id is written
-as response and the others as revisit records that refer to it.
+as response and the others as revisit records that refer to it. A record is known by its page_id,
+payload digest, url and copy number, so its id doesn't depend on where its row lies.
 
 Defined cases: null html is an empty payload, empty payloads are equal to each other; null url
 leaves the header out; a null page_id is less than any other and refers_to may be null for it; of
-rows that repeat a page_id with the same payload one is the response; an empty table writes
-nothing; extra columns are ignored.
+rows that repeat a page_id with the same payload that of the least url (null last) is the response;
+an empty table writes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,24 +39,55 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
 
 
-def _record_id(page_id: F.Column, row: F.Column) -> F.Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(page_id.cast("string"), F.lit("")), row.cast("string")))
+def _row_key(*of: F.Column) -> F.Column:
+    """A digest of values, null told from any text."""
+    return F.md5(F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in of))))
+
+
+def _record_id(key: F.Column, copy: F.Column) -> F.Column:
+    h = F.md5(F.concat_ws(":", key, copy.cast("string")))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def chunk_table(pages: DataFrame, scratch: Scratch, least: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """``pages(page_id, url, html)`` to record_id, page_id, url, n_bytes, sha1, refers_to, chunk_no, data; refers_to is null for responses."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("row", F.monotonically_increasing_id())
+def record_table(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
+    """key, copies, record_id, page_id, url, n_bytes, sha1, refers_to: a row per record, without payloads."""
+    rows = _keyed(pages).groupBy("key", "page_id", "url", "n_bytes", "sha1").agg(F.count("*").alias("copies"))
+    rows = scratch.save(rows, "keys")
+    last = rows.where(F.col("n_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("last_id"), F.sum("copies").alias("n")).where("n > 1")
+    first = rows.join(last.select("sha1", "last_id"), "sha1").where("page_id <=> last_id").groupBy("sha1").agg(F.min(F.struct(F.col("url").isNull(), "url", "key")).alias("r"))
+    first = scratch.save(first.select("sha1", F.col("r.key").alias("last_key")), "last")
+    told = rows.join(first, "sha1", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    revisit = F.col("last_key").isNotNull() & ((F.col("last_key") != F.col("key")) | (F.col("copy") > 0))
+    made = told.select(
+        "key", "copies", _record_id(F.col("key"), F.col("copy")).alias("record_id"), "page_id", "url", "n_bytes", "sha1",
+        F.when(revisit, _record_id(F.col("last_key"), F.lit(0))).alias("refers_to"),
+    )
+    return scratch.save(made, "records")
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
-    last = rows.where(F.col("n_bytes") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    last = scratch.save(last.select("sha1", F.col("last.page_id").alias("last_id"), F.col("last.row").alias("last_row")), "last")
-    joined = rows.join(last, "sha1", "left").withColumn("record_id", _record_id(F.col("page_id"), F.col("row")))
-    revisit = F.col("last_row").isNotNull() & (F.col("last_row") != F.col("row"))
-    count = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk).cast("int")))
-    joined = joined.withColumn("refers_to", F.when(revisit, _record_id(F.col("last_id"), F.col("last_row"))))
-    cut = joined.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
-    data = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).when(F.col("n_bytes") <= chunk, F.col("payload")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"))
-    return cut.select("record_id", "page_id", "url", "n_bytes", "sha1", "refers_to", "chunk_no", data.alias("data"))
+    return rows.withColumn("key", _row_key(F.col("page_id"), F.col("url"), F.col("sha1")))
+
+
+def chunk_table(pages: DataFrame, scratch: Scratch, least: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``pages(page_id, url, html)`` to record_id, page_id, url, n_bytes, sha1, refers_to, chunk_no, data; refers_to is null for responses.
+
+    A record's chunks are in one partition, side by side and in order.
+    """
+    records = record_table(pages, scratch, least)
+    head = "record_id", "page_id", "url", "n_bytes", "sha1", "refers_to"
+    responses, payloads = records.where("refers_to is null"), _keyed(pages).select("key", "payload")
+    once = payloads.join(responses.where("copies = 1").select("key", *head), "key")
+    repeated = responses.where("copies > 1")
+    if not repeated.isEmpty():  # equal rows: their payload is brought together map-side
+        again = payloads.join(repeated.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("payload").alias("payload"))
+        once = once.unionByName(again.join(repeated.select("key", *head), "key"))
+    count = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk).cast("int"))
+    data = F.when(F.col("n_bytes") <= chunk, F.col("payload")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"))
+    cut = once.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1))).select(*head, "chunk_no", data.alias("data"))
+    return cut.unionByName(records.where("refers_to is not null").select(*head, F.lit(0).alias("chunk_no"), F.lit(b"").alias("data")))
 
 
 def _base32(sha1: bytes) -> str:
@@ -75,7 +110,7 @@ def record_head(record_id: str, page_id: int | None, url: str | None, n_bytes: i
 
 
 def write_archives(chunks: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Writes ``folder``/part-N.warc.gz; the manifest: file, n_records."""
+    """Writes ``folder``/part-N.warc.gz from chunk rows as ``chunk_table`` gives them; the manifest: file, n_records."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -84,28 +119,34 @@ def write_archives(chunks: DataFrame, folder: str, scratch: Scratch) -> DataFram
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         name, temp = f"{base}/part-{task.partitionId():05d}.warc.gz", f"{base}/_attempt-{task.taskAttemptId()}"
-        out = packer = now = None
+        out = packer = digest = now = None
         n = 0
+
+        def close() -> None:
+            if not now[1] and digest.hexdigest() != now[2]:
+                raise ValueError(f"the payload of record {now[0]} is not the one that was announced")
+            out.write(packer.compress(CRLF + CRLF) + packer.flush())
+
         for batch in batches:
             for rid, page, url, size, sha1, refers, data in zip(*(batch[c] for c in ("record_id", "page_id", "url", "n_bytes", "sha1", "refers_to", "data")), strict=True):
-                if rid != now:
+                if now is None or rid != now[0]:
                     if out is None:
                         store.create_dir(base)
                         out = store.open_output_stream(temp, compression=None)
                     else:
-                        out.write(packer.compress(CRLF + CRLF) + packer.flush())
-                    packer, now, n = zlib.compressobj(3, zlib.DEFLATED, 31), rid, n + 1
+                        close()
+                    packer, digest, now, n = zlib.compressobj(3, zlib.DEFLATED, 31), hashlib.sha1(), (rid, refers, sha1), n + 1
                     out.write(packer.compress(record_head(rid, None if pd.isna(page) else int(page), url, int(size), sha1, refers)))
+                digest.update(data)
                 out.write(packer.compress(data))
         if out is None:
             return
-        out.write(packer.compress(CRLF + CRLF) + packer.flush())
+        close()
         out.close()
         store.move(temp, name)
         yield pd.DataFrame({"file": [name.rsplit("/", 1)[1]], "n_records": [n]})
 
-    dealt = chunks.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return scratch.save(dealt.mapInPandas(run, "file string, n_records long"), "manifest")
+    return scratch.save(chunks.mapInPandas(run, "file string, n_records long"), "manifest")
 
 
 class _Stream:
@@ -178,6 +219,8 @@ def read_records(raw, chunk: int = CHUNK) -> Iterator[tuple]:
                 break
         if stream.take(4) != CRLF + CRLF:
             raise ValueError("a record's length is wrong")
+        if of[2] == "response" and _base32(digest.digest()) != of[4]:
+            raise ValueError(f"the payload of record {of[0]} doesn't have the digest that it states")
 
 
 CHUNK_ROWS = "record_id string, page_id long, record_type string, refers_to string, stated_digest string, chunk_no int, n_bytes long, digest string, last boolean, data binary"

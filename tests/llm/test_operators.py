@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slackline.llm import chat, ego_join, exact_dedup, mixing, ngram_join, packing, pii, quality, template, toxicity, warc
 
@@ -471,6 +472,25 @@ def test_warc(spark, monkeypatch):
     manifest = warc.write_archives(warc.chunk_table(pages, scratch, chunk=1000), scratch.path("a"), scratch)
     chunks = warc.read_archives(manifest, scratch.path("a"), chunk=1000).where("page_id = 7").orderBy("chunk_no").collect()
     assert len(chunks) == 600 and b"".join(bytes(c["data"]) for c in chunks).decode() == big and [c["last"] for c in chunks].count(True) == 1
+    # Repeated rows, of one url or of several; short payloads are all responses.
+    rows = [(1, "u", "same")] * 3 + [(1, None, "same"), (1, "a", "same"), (2, "u", "other"), (2, "u", "other"), (None, None, "other"), (3, "u", ""), (4, "u", "")]
+    again = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for least, n_responses in ((0, 3), (1, 4), (5, 8), (6, 10)):
+        got = warc.archive_round_trip(again.repartition(4), least).collect()
+        assert Counter((r["page_id"], r["payload_bytes"]) for r in got) == Counter((i, len(h)) for i, _, h in rows)
+        assert sum(r["record_type"] == "response" for r in got) == n_responses
+        assert all((r["refers_to"] is None) == (r["record_type"] == "response") for r in got)
+    # A payload that isn't what its head says is an error, in the writer and in the reader.
+    table = warc.chunk_table(pages, scratch, chunk=1000)
+    with pytest.raises(Exception, match="announced"):
+        warc.write_archives(table.withColumn("sha1", F.repeat(F.lit("0"), F.lit(40))), scratch.path("b"), scratch)
+    import gzip
+    import io
+
+    head = warc.record_head("r", 1, None, 3, hashlib.sha1(b"abc").hexdigest(), None)
+    assert len(list(warc.read_records(io.BytesIO(gzip.compress(head + b"abc\r\n\r\n"))))) == 1
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.read_records(io.BytesIO(gzip.compress(head + b"abd\r\n\r\n"))))
 
 
 def test_pii(spark, docs, nothing):
@@ -490,7 +510,10 @@ def test_pii(spark, docs, nothing):
     assert pii.pseudonymise(nothing, KEY).count() == 0
 
 
-def test_ego_join(spark):
+@pytest.mark.parametrize("block, leaf, tile", [(1024, 128, 16 << 20), (16, 4, 1 << 12)])
+def test_ego_join(spark, monkeypatch, block, leaf, tile):
+    for name, value in (("BLOCK", block), ("LEAF", leaf), ("TILE_BYTES", tile)):
+        monkeypatch.setattr(ego_join, name, value)
     draw = np.random.RandomState(4)
     x = draw.normal(size=(300, 8))
     x[100:200] = x[:100] + draw.normal(size=(100, 8)) * 0.25
