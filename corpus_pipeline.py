@@ -2,6 +2,14 @@
 
 Every stage is written as Parquet and read back as the next one's input, so each can be run again
 by itself. The result cannot be given by SQL (learned scores, MinHash pruning, tokenizer ids).
+
+Defined cases, by stage as the operators define them. Null and empty texts are clean; they are equal
+to each other, so exact dedup leaves one of all of them; that one has no shingles and stays; it has
+no tokens and goes or stays with the order keys around it; it packs as the closing id alone. Rows
+without a doc_id stay only where no equal or near text has one, and go to the mix under the order
+key of the empty id. Rows that repeat a doc_id are rows each; wholly repeated rows are one row after
+exact dedup. Without labels of both kinds the fixed word list judges toxicity. An empty table gives
+an empty result. Further columns of documents are carried up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slackline.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from slackline.llm.names import free
 from slackline.plans.scratch import Scratch
 
 MIX = mixing.MixPlan(budget_share=0.8, max_epochs=2, seed=17)
@@ -27,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX).drop("epoch")
+    (epoch,) = free(docs.columns, "epoch")
+    return mixing.mix(docs, MIX, epoch=epoch).drop(epoch)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
