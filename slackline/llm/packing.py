@@ -31,7 +31,7 @@ from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
 #: Bytes that each half of a worker's table of word ids may take.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 #: Marks that make one run when they end a word, and that begin no token of letters.
 STOPS = ".,!?;:#$%&*"
 
