@@ -30,8 +30,8 @@ from slackline.llm import memo
 from slackline.plans.scratch import Scratch
 
 CAPACITY, END = 4096, 1
-#: Bytes that each half of a worker's table of word ids may take.
-CACHE_BYTES = 48 << 20
+#: Bytes that each half of a worker's table of word ids may take, if not said otherwise: time for memory.
+CACHE_BYTES = 96 << 20
 #: Marks that make one run when they end a word, and that begin no token of letters.
 STOPS = ".,!?;:#$%&*"
 
@@ -45,7 +45,7 @@ class WordIds(memo.Halves):
     the rest through the whole tokenizer. One table serves all tasks of a worker.
     """
 
-    tables: dict[str, WordIds] = {}
+    tables: dict[tuple[str, int], WordIds] = {}
 
     def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
@@ -58,10 +58,11 @@ class WordIds(memo.Halves):
         self.letters = {k: split(chr(k))[0][0] for k in range(0x80, 0x130) if chr(k).isalpha()}
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in cls.tables:
-            cls.tables[path] = cls(path)
-        return cls.tables[path]
+    def of(cls, path: str, most: int) -> WordIds:
+        if (path, most) not in cls.tables:
+            cls.tables.clear()
+            cls.tables[path, most] = cls(path, most)
+        return cls.tables[path, most]
 
     def learnt(self, word: str) -> bytes:
         core = word.rstrip(STOPS)
@@ -82,7 +83,7 @@ class WordIds(memo.Halves):
 memo.register("packing", WordIds.tables.clear)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids (bytes, little-endian 32-bit): each text's ids and ``end``, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
 
         memo.claim("packing")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, tail, step = WordIds.of(tokenizer), np.asarray([end], dtype="<u4").tobytes(), 4 * capacity
+        ids, tail, step = WordIds.of(tokenizer, cache_bytes), np.asarray([end], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 rows = []
@@ -304,9 +305,9 @@ def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     return whole.select("sequence_id", "length", joined.alias("ids"), F.col("parts.doc_id").alias("doc_ids"))
 
 
-def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
-    pieces = token_pieces(docs, tokenizer).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = token_pieces(docs, tokenizer, cache_bytes=cache_bytes).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return place(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
