@@ -21,9 +21,17 @@ from slackline.llm.names import free
 from slackline.plans.scratch import Scratch
 
 MIX = mixing.MixPlan(budget_share=0.8, max_epochs=2, seed=17)
+#: Rows that Python workers take at a time, and bytes of a half of their word table in packing: five stages share an executor's memory.
+ROWS, CACHE_BYTES = 2000, 24 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(int(spark.conf.get(key)), ROWS)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -32,6 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -41,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_tokenizer())
+    _small_batches(spark)
+    return packing.pack(docs, packing.default_tokenizer(), CACHE_BYTES)
 
 
 STAGES = [
