@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slackline.operators.graph import ranked
+
 SIGMA, SLICES = 8, 128
 
 
@@ -16,8 +18,8 @@ def build(edges: DataFrame, row: str = "src", column: str = "dst") -> DataFrame:
 
 def pack(slices: DataFrame, size: int = SLICES) -> DataFrame:
     """slices with chunk, slot, lane: at most ``size`` slices to a chunk of an interval, laid out over 32 lanes."""
-    k = F.row_number().over(Window.partitionBy("interval").orderBy("row_id")) - 1
-    return slices.withColumn("k", k).select("interval", F.floor(F.col("k") / size).cast("int").alias("chunk"), (F.col("k") % size).cast("int").alias("slot"), (F.col("k") % 32).cast("int").alias("lane"), "row_id", "mask")
+    placed = ranked(slices.withColumnRenamed("row_id", "id"), "interval").withColumnRenamed("id", "row_id")
+    return placed.select("interval", F.floor(F.col("k") / size).cast("int").alias("chunk"), (F.col("k") % size).cast("int").alias("slot"), (F.col("k") % 32).cast("int").alias("lane"), "row_id", "mask")
 
 
 def summary(slices: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def degree_extremes(edges: DataFrame) -> DataFrame:
+    """max_out_degree, max_in_degree in one row."""
+    return degrees(edges).agg(F.max("out_degree").alias("max_out_degree"), F.max("in_degree").alias("max_in_degree"))
+
+
 def graph_stats(edges: DataFrame, levels: DataFrame) -> DataFrame:
     """n_vertices, n_edges, avg_degree (4 decimals), diameter (largest topological level)."""
     v = levels.agg(F.count("*").alias("n_vertices"), F.max("level").alias("diameter"))
@@ -42,16 +47,22 @@ def graph_stats(edges: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def bfs_levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """id, level: fewest edges to a sink. Not a schedule for relaxation: edges may skip levels."""
-    scratch = Scratch(edges.sparkSession, "bfs")
-    front = scratch.save(sinks(edges, vertices).withColumn("level", F.lit(0)), "l0")
-    seen, level = front, 0
-    while not front.isEmpty():
+    """id, level: fewest edges to a sink, -1 for a vertex that reaches none. Not a schedule for relaxation: edges may skip levels."""
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "bfs")
+    vertices = scratch.save(vertices_of(edges) if vertices is None else vertices.select(F.col("id").cast("long")).distinct(), "vertices")
+    front, n = scratch.save_counted(sinks(edges, vertices).withColumn("level", F.lit(0)), "l0", F.count(F.lit(1)))
+    total, level = vertices.count(), 0
+    paths = [scratch.path("l0")]
+    read = lambda: spark.read.schema(front.schema).parquet(*paths)  # noqa: E731  one scan, however many levels
+    while n and (total := total - n):
         level += 1
         near = edges.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        front = scratch.save(near.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)), f"l{level}")
-        seen = seen.unionByName(front)
-    return seen
+        front, n = scratch.save_counted(near.join(read().select("id"), "id", "left_anti").withColumn("level", F.lit(level)), f"l{level}", F.count(F.lit(1)))
+        paths.append(scratch.path(f"l{level}"))
+    if not total:
+        return read()
+    return read().unionByName(vertices.join(read().select("id"), "id", "left_anti").withColumn("level", F.lit(-1)))
 
 
 def level_histogram(levels: DataFrame) -> DataFrame:
@@ -170,5 +181,10 @@ def _first_by_hash(rows: DataFrame, n: int, ranges: int = RANGE) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """src, neighbours: array of (dst, w) by dst; the row form of a compressed sparse matrix."""
+    """src, neighbours: array of (dst, w) by dst; the row form of a compressed sparse matrix. A row holds all edges of a vertex; ``sorted_edges`` has no such rows."""
     return edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("neighbours"))
+
+
+def sorted_edges(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """src, k, dst, w: edges numbered from 0 within their source, by head; with ``row_offsets`` a compressed sparse matrix of rows of any length."""
+    return ranked(edges.withColumnRenamed("dst", "id"), "src").select("src", "k", F.col("id").alias("dst"), "w")

@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.operators.graph import sources
-from slackline.operators.suffix import chain_arrays, deviations, suffix_chains, suffix_tree
+from slackline.operators.suffix import chain_arrays, deviations, successor_jumps, suffix_chains, suffix_tree
+from slackline.plans.phases import Phases
 from slackline.plans.scratch import Scratch
 
 
-@dataclass
 class PathIndex:
-    """What every query on one graph shares; all of it written tables."""
+    """What queries on one graph share; each part is a written table, made when it is first asked for."""
 
-    edges: DataFrame
-    tree: DataFrame
-    devs: DataFrame
-    roots: DataFrame
-    chains: DataFrame
-    scratch: Scratch
+    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None):
+        self.given, self.vertices = edges, vertices
+        self.scratch = Scratch(edges.sparkSession, "paths")
+        self.phases = Phases()
 
     @classmethod
     def build(cls, edges: DataFrame, vertices: DataFrame | None = None) -> PathIndex:
-        scratch = Scratch(edges.sparkSession, "paths")
-        edges = scratch.save(edges.select("src", "dst", "w"), "edges")
-        tree = scratch.save(suffix_tree(edges, vertices, scratch), "tree")
-        devs = scratch.save(deviations(edges, tree), "devs")
-        roots = scratch.save(sources(edges, vertices).join(tree, "id").select("id", "dist"), "roots")
-        return cls(edges, tree, devs, roots, suffix_chains(tree, scratch), scratch)
+        return cls(edges, vertices)
+
+    def _made(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        with self.phases.of(name):
+            return self.scratch.save(make(), name)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._made("edges", lambda: self.given.select("src", "dst", "w"))
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        edges = self.edges
+        with self.phases.of("tree"):
+            return suffix_tree(edges, self.vertices, self.scratch)
+
+    @cached_property
+    def devs(self) -> DataFrame:
+        edges, tree = self.edges, self.tree
+        return self._made("devs", lambda: deviations(edges, tree))
+
+    @cached_property
+    def roots(self) -> DataFrame:
+        edges, tree = self.edges, self.tree
+        return self._made("roots", lambda: sources(edges, self.vertices).join(tree, "id").select("id", "dist"))
+
+    @cached_property
+    def jumps(self) -> list[DataFrame]:
+        tree = self.tree
+        with self.phases.of("jumps"):
+            return successor_jumps(tree, self.scratch)
+
+    def chains(self, ids: DataFrame) -> DataFrame:
+        """id, u, pos: the ways of ``ids(id)`` along the tree."""
+        return suffix_chains(ids, self.jumps, self.scratch)
 
 
 class StaticCache:
@@ -75,12 +103,15 @@ def candidate_paths(index: PathIndex, k: int, max_deviations: int | None = None)
     theta = bound(kept)
     while max_deviations is None or level < max_deviations:
         level += 1
-        step = front.join(index.chains.select(F.col("id").alias("last"), "u"), "last").join(devs, "u").withColumn("total", F.col("cost") + F.col("delta"))
+        chains = index.chains(front.select(F.col("last").alias("id")).distinct()).select(F.col("id").alias("last"), "u")
+        step = front.join(chains, "last").join(devs, "u").withColumn("total", F.col("cost") + F.col("delta"))
+        if theta is None:  # with no bound yet, the K least of what is known and what comes give one, and nothing beyond it is written
+            theta = bound(kept.select("cost").unionByName(step.select(F.col("total").alias("cost"))))
         if theta is not None:
             step = step.where(F.col("total") <= theta)
         grown = F.concat("devs", F.array(F.struct("u", "v")))
-        step = scratch.save(step.select(F.col("total").alias("cost"), "source", F.col("v").alias("last"), F.lit(level).alias("level"), grown.alias("devs")), f"f{level}")
-        if step.isEmpty():
+        step, n = scratch.save_counted(step.select(F.col("total").alias("cost"), "source", F.col("v").alias("last"), F.lit(level).alias("level"), grown.alias("devs")), f"f{level}", F.count(F.lit(1)))
+        if not n:
             break
         kept = kept.unionByName(step)
         theta = bound(kept)
@@ -93,7 +124,9 @@ def candidate_paths(index: PathIndex, k: int, max_deviations: int | None = None)
 
 def with_vertices(paths: DataFrame, index: PathIndex) -> DataFrame:
     """``paths`` with ``path``, the vertices in order."""
-    arrays = index.scratch.save(chain_arrays(index.chains), "ways")
+    paths = Scratch(index.edges.sparkSession, "named").save(paths, "paths")
+    ends = paths.select(F.explode(F.concat(F.array("source"), "devs.v")).alias("id")).distinct()
+    arrays = chain_arrays(index.chains(ends))
     seg = F.expr("transform(sequence(0, size(devs)), i -> struct(i as i, if(i = 0, source, devs[i - 1].v) as start, if(i = size(devs), null, devs[i].u) as stop))")
     parts = paths.withColumn("key", F.struct("source", "devs")).select("key", "cost", "level", F.explode(seg).alias("s")).select("key", "cost", "level", "s.*")
     parts = parts.join(arrays.withColumnRenamed("id", "start"), "start")

@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.functions.candidates import classify
 from slackline.operators.graph import ranked
+from slackline.operators.ranges import running
 
 
 def candidates(parents: DataFrame, families: DataFrame, at_most: int | None = None) -> DataFrame:
@@ -28,12 +29,28 @@ def class_counts(made: DataFrame, split: int, final: int | None = None, skip_lon
 
 
 def family_counts(parents: DataFrame, families: DataFrame, split: int, final: int | None = None) -> DataFrame:
-    """family_id, n_short, n_long, n_skip, total: how many parents of each family fall where."""
-    cost = F.col("cost") + F.col("delta")
-    final = final if final is not None else 2**62
-    return families.join(parents, "src").groupBy("family_id").agg(
-        F.count_if(cost <= split).alias("n_short"), F.count_if((cost > split) & (cost <= final)).alias("n_long"), F.count_if((cost > split) & (cost > final)).alias("n_skip"), F.count("*").alias("total"),
-    )
+    """family_id, n_short, n_long, n_skip, total: how many parents of each family fall where.
+
+    A family's candidate is short if its parent costs no more than ``split - delta``, so a count is
+    a parent's rank among thresholds: parents and thresholds of a source are sorted together and
+    counted as they run, and no parent ever meets a family.
+    """
+    limits = [split] if final is None else [split, final]
+    costs = parents.groupBy("src", F.col("cost").alias("value")).agg(F.count("*").alias("n")).withColumns({"which": F.lit(-1), "delta": F.lit(None).cast("long")})
+    deltas = families.select("src", "delta").distinct()
+    asked = [deltas.select("src", (F.lit(x) - F.col("delta")).alias("value"), F.lit(0).cast("long").alias("n"), F.lit(k).alias("which"), "delta") for k, x in enumerate(limits)]
+    rows = costs
+    for a in asked:
+        rows = rows.unionByName(a)
+    # At equal values parents, whose ``which`` is the least, come first: a threshold counts them.
+    told = running(rows, "src", "value", ["which"], F.col("n"), "upto").where("which >= 0")
+    total = parents.groupBy("src").agg(F.count("*").alias("total"))
+    at = [F.max(F.when(F.col("which") == k, F.col("upto"))).alias(f"upto{k}") for k in range(len(limits))]
+    counts = told.groupBy("src", "delta").agg(*at).join(total, "src")
+    short = F.col("upto0")
+    long = F.col("total") - short if final is None else F.greatest(F.col("upto1") - short, F.lit(0))
+    counts = counts.select("src", "delta", short.alias("n_short"), long.alias("n_long"), (F.col("total") - short - long).alias("n_skip"), "total")
+    return families.join(counts, ["src", "delta"]).select("family_id", "n_short", "n_long", "n_skip", "total")
 
 
 def source_counts(parents: DataFrame, families: DataFrame, split: int, final: int) -> DataFrame:
@@ -42,12 +59,23 @@ def source_counts(parents: DataFrame, families: DataFrame, split: int, final: in
     return per.groupBy("src").agg(*(F.sum(c).alias(c) for c in ("n_short", "n_long", "n_skip", "total")))
 
 
-_ORDER = ("cost", "parent_id", "family_id", "dst")
+#: Columns of the total order of candidates, the first that differs deciding; classes in the order SHORT, LONG, SKIP.
+ORDER = ("cost", "parent_id", "edge_id", "dst", "class")
+
+
+def total_order(made: DataFrame) -> list[Column]:
+    """Sort keys of candidates: those of ORDER that ``made`` has; a family's id is its edge's."""
+    key = {"edge_id": "edge_id" if "edge_id" in made.columns else "family_id"}
+    by = {c: F.col(key.get(c, c)) for c in ORDER if key.get(c, c) in made.columns}
+    if "class" in by:
+        by["class"] = F.when(by["class"] == "SHORT", 0).when(by["class"] == "LONG", 1).otherwise(2)
+    return list(by.values())
 
 
 def first_n(made: DataFrame, n: int) -> DataFrame:
-    """The n first candidates in total order."""
-    return made.orderBy(*_ORDER).limit(n)
+    """The n first candidates in total order, with their ``rank`` from 1."""
+    first = made.orderBy(*total_order(made)).limit(n)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*total_order(first))).cast("long"))  # n rows
 
 
 def first_n_with_ties(made: DataFrame, n: int) -> DataFrame:
@@ -78,7 +106,7 @@ def edge_lookup(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def in_source_order(parents: DataFrame) -> DataFrame:
     """parents with ``k``: their place by cost within their source, from 1."""
-    return parents.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("cost", "parent_id")))
+    return running(parents, "src", "cost", ["parent_id"], F.lit(1), "k")
 
 
 def source_slots(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,31 +19,44 @@ class CycleError(ValueError):
 def suffix_tree(edges: DataFrame, vertices: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """id, level, dist, succ: topological level from the sinks, cheapest cost to a sink, and the next vertex on that way.
 
-    Edges carry the distance of their head once it is known; a vertex is done in the round in which
-    its last edge is filled, which is its level, so each edge is relaxed once, in topological order.
-    Ties go to the least head. Sinks have distance 0 and no successor. Raises CycleError.
+    A round joins the vertices found last with the edges that lead to them. A vertex carries the
+    number of its edges met so far and the best of them; it is found in the round in which that
+    number is its out-degree, which is its level, so each edge is relaxed once, in topological
+    order. What a round writes is vertices that it met or that wait, never edges; those are written
+    anew only when half of them are done. Ties go to the least head. Sinks have distance 0 and no
+    successor. Raises CycleError.
     """
     scratch = scratch or Scratch(edges.sparkSession, "suffix")
-    open_edges = edges.select("src", "dst", "w", F.lit(None).cast("long").alias("d"))
-    start = sinks(edges, vertices).select("id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("succ"))
-    front = scratch.save(start, "front0")
-    found, level = front, 0
+    spark = edges.sparkSession
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    start = sinks(edges, vertices).select("id", F.lit(0).alias("level"), F.struct(F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("succ")).alias("best"), F.lit(0).cast("long").alias("met"), F.lit(True).alias("found"))
+    now = scratch.save(start, "round0")
+    degree, n_open = scratch.save_counted(degree, "degree", F.coalesce(F.sum("degree"), F.lit(0)))
+    n_inner, left, filled, written, level = degree.count(), edges, 0, n_open, 0
+    best = F.min("best").alias("best")
     while True:
-        heads = front.select(F.col("id").alias("dst"), "dist")
-        filled = open_edges.join(heads, "dst", "left").select("src", "dst", "w", F.coalesce("d", "dist").alias("d"))
-        filled = scratch.save(filled, f"edges{level}")
         level += 1
-        best = F.min(F.struct((F.col("w") + F.col("d")).alias("dist"), F.col("dst").alias("succ")))
-        done = filled.groupBy("src").agg(best.alias("b"), F.count_if(F.col("d").isNull()).alias("waiting")).where("waiting = 0")
-        front = scratch.save(done.select(F.col("src").alias("id"), F.lit(level).alias("level"), "b.dist", "b.succ"), f"front{level}")
-        if front.isEmpty():
-            if not filled.isEmpty():
-                raise CycleError("the graph has a cycle")
-            return found
-        found = found.unionByName(front)
-        if level > 1:
-            scratch.drop(f"edges{level - 2}")
-        open_edges = filled.join(front.select(F.col("id").alias("src")), "src", "left_anti")
+        front = now.where("found").select(F.col("id").alias("dst"), "best.dist")
+        met = left.join(front, "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.struct((F.col("w") + F.col("dist")).alias("dist"), F.col("dst").alias("succ"))).alias("best"), F.count("*").alias("met"))
+        waiting = now.where("not found").select("id", "best", "met")
+        both = met.unionByName(waiting).groupBy("id").agg(best, F.sum("met").alias("met"))
+        both = both.join(degree, "id").select("id", F.lit(level).alias("level"), "best", "met", (F.col("met") == F.col("degree")).alias("found"))
+        told = F.struct(F.count_if("found").alias("n"), F.coalesce(F.sum(F.when(F.col("found"), F.col("met"))), F.lit(0)).alias("edges"))
+        now, got = scratch.save_counted(both, f"round{level}", told)
+        n_inner -= got["n"]
+        filled += got["edges"]
+        if not got["n"]:
+            break
+        if not n_inner:
+            level += 1
+            break
+        if 2 * filled > written and n_open > 1_000_000:  # edges out of vertices that are found are of no more use
+            done = spark.read.schema(now.schema).parquet(*(scratch.path(f"round{k}") for k in range(1, level + 1))).where("found")
+            left, written, filled = scratch.save(left.join(done.select(F.col("id").alias("src")), "src", "left_anti"), f"left{level}"), written - filled, 0
+    if n_inner:
+        raise CycleError("the graph has a cycle")
+    whole = spark.read.schema(now.schema).parquet(*(scratch.path(f"round{k}") for k in range(level)))
+    return whole.where("found").select("id", "level", "best.dist", "best.succ")
 
 
 def deviations(edges: DataFrame, tree: DataFrame, only_reachable: bool = True) -> DataFrame:
@@ -54,18 +69,24 @@ def deviations(edges: DataFrame, tree: DataFrame, only_reachable: bool = True) -
     return devs.where("reachable") if only_reachable else devs
 
 
-def suffix_chains(tree: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, u, pos: every vertex on each vertex's way to a sink, by doubling: log2(depth) joins."""
-    chains = scratch.save(tree.select("id", F.col("id").alias("u"), F.lit(0).alias("pos")), "chain0")
-    jump = scratch.save(tree.where("succ is not null").select("id", F.col("succ").alias("to")), "jump0")
-    step, k = 1, 0
+def successor_jumps(tree: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Tables (id, to) of the vertices 1, 2, 4, ... steps on, as long as any way goes so far: a row per vertex and table."""
+    jump, out = scratch.save(tree.where("succ is not null").select("id", F.col("succ").alias("to")), "jump0"), []
     while not jump.isEmpty():
-        k += 1
-        more = jump.join(chains.select(F.col("id").alias("to"), "u", "pos"), "to").select("id", "u", (F.col("pos") + step).alias("pos"))
-        chains = scratch.save(chains.unionByName(more), f"chain{k}")
-        jump = scratch.save(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), f"jump{k}")
-        step *= 2
-    return chains
+        out.append(jump)
+        jump = scratch.save(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), f"jump{len(out)}")
+    return out
+
+
+def suffix_chains(ids: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """id, u, pos: every vertex on the ways of ``ids(id)`` to a sink, in log2(depth) joins."""
+    chains = ids.select("id", F.col("id").alias("u"), F.lit(0).alias("pos"))
+    tag = uuid.uuid4().hex[:8]
+    for k, jump in enumerate(jumps):
+        chains = scratch.save(chains, f"chain_{tag}_{k}")
+        more = chains.join(jump.select(F.col("id").alias("u"), "to"), "u").select("id", F.col("to").alias("u"), (F.col("pos") + 2**k).alias("pos"))
+        chains = chains.unionByName(more)
+    return scratch.save(chains, f"chain_{tag}")
 
 
 def chain_arrays(chains: DataFrame) -> DataFrame:

@@ -32,15 +32,16 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 def _parents(spark: SparkSession, d: str) -> DataFrame:
     """Path nodes of no deviation, as parents at the vertices of their ways: the first expansion step alone."""
     i = index(spark, d)
-    return i.roots.join(i.chains.select("id", "u"), "id").select(F.col("id").alias("parent_id"), F.col("u").alias("src"), F.col("dist").alias("cost"))
+    return i.roots.join(i.chains(i.roots).select("id", "u"), "id").select(F.col("id").alias("parent_id"), F.col("u").alias("src"), F.col("dist").alias("cost"))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     """Path nodes of no or one deviation, as parents at the vertices of their last ways; ids tell source and deviation."""
     i = index(spark, d)
-    none = i.roots.join(i.chains.select("id", "u"), "id").select(F.col("id").cast("string").alias("parent_id"), F.col("u").alias("src"), F.col("dist").alias("cost"))
+    none = _parents(spark, d).withColumn("parent_id", F.col("parent_id").cast("string"))
     one = none.join(i.devs.select("src", "dst", "delta"), "src").select(F.concat_ws("-", "parent_id", "src", "dst").alias("parent_id"), F.col("dst").alias("id"), (F.col("cost") + F.col("delta")).alias("cost"))
-    return none.unionByName(one.join(i.chains.select("id", F.col("u").alias("src")), "id").drop("id"))
+    ways = i.chains(one.select("id").distinct()).select("id", F.col("u").alias("src"))
+    return none.unionByName(one.join(ways, "id").drop("id"))
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:

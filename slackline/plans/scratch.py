@@ -10,13 +10,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _roots: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where it is unset, on a local master only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="slackline-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -60,6 +62,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_counted(self, df: DataFrame, name: str, told: Column):
+        """``save``, and an aggregate over what was written, found on the way."""
+        seen = Observation(name)
+        return self.save(df.observe(seen, told.alias("told")), name), seen.get["told"]
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self.path(name))
