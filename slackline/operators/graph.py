@@ -27,9 +27,11 @@ def sinks(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return vertices.join(edges.select(F.col("src").alias("id")), "id", "left_anti")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """id, out_degree, in_degree, in one shuffle."""
+def degrees(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """id, out_degree, in_degree, in one shuffle; vertices without edges only if they are given."""
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    if vertices is not None:
+        ends = ends.union(vertices.select(F.col("id").cast("long"), F.lit(0), F.lit(0)))
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
@@ -50,19 +52,18 @@ def bfs_levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     """id, level: fewest edges to a sink, -1 for a vertex that reaches none. Not a schedule for relaxation: edges may skip levels."""
     spark = edges.sparkSession
     scratch = Scratch(spark, "bfs")
-    vertices = scratch.save(vertices_of(edges) if vertices is None else vertices.select(F.col("id").cast("long")).distinct(), "vertices")
-    front, n = scratch.save_counted(sinks(edges, vertices).withColumn("level", F.lit(0)), "l0", F.count(F.lit(1)))
-    total, level = vertices.count(), 0
-    paths = [scratch.path("l0")]
+    every, left = scratch.save_counted(degrees(edges, vertices), "degrees", F.count(F.lit(1)))
+    front, n = scratch.save_counted(every.where("out_degree = 0").select("id", F.lit(0).alias("level")), "l0", F.count(F.lit(1)))
+    paths, level = [scratch.path("l0")], 0
     read = lambda: spark.read.schema(front.schema).parquet(*paths)  # noqa: E731  one scan, however many levels
-    while n and (total := total - n):
+    while n and (left := left - n):
         level += 1
         near = edges.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
         front, n = scratch.save_counted(near.join(read().select("id"), "id", "left_anti").withColumn("level", F.lit(level)), f"l{level}", F.count(F.lit(1)))
         paths.append(scratch.path(f"l{level}"))
-    if not total:
+    if not left:
         return read()
-    return read().unionByName(vertices.join(read().select("id"), "id", "left_anti").withColumn("level", F.lit(-1)))
+    return read().unionByName(every.join(read().select("id"), "id", "left_anti").select("id", F.lit(-1).alias("level")))
 
 
 def level_histogram(levels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slackline.operators.graph import sources
+from slackline.operators.graph import degrees
 from slackline.operators.suffix import chain_arrays, deviations, successor_jumps, suffix_chains, suffix_tree
 from slackline.plans.phases import Phases
 from slackline.plans.scratch import Scratch
@@ -35,10 +35,15 @@ class PathIndex:
         return self._made("edges", lambda: self.given.select("src", "dst", "w"))
 
     @cached_property
-    def tree(self) -> DataFrame:
+    def degrees(self) -> DataFrame:
         edges = self.edges
+        return self._made("degrees", lambda: degrees(edges, self.vertices))
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        edges, degree = self.edges, self.degrees
         with self.phases.of("tree"):
-            return suffix_tree(edges, self.vertices, self.scratch)
+            return suffix_tree(edges, self.vertices, self.scratch, degree)
 
     @cached_property
     def devs(self) -> DataFrame:
@@ -47,8 +52,8 @@ class PathIndex:
 
     @cached_property
     def roots(self) -> DataFrame:
-        edges, tree = self.edges, self.tree
-        return self._made("roots", lambda: sources(edges, self.vertices).join(tree, "id").select("id", "dist"))
+        tree, degree = self.tree, self.degrees
+        return self._made("roots", lambda: degree.where("in_degree = 0").select("id").join(tree, "id").select("id", "dist"))
 
     @cached_property
     def jumps(self) -> list[DataFrame]:
@@ -90,36 +95,39 @@ def candidate_paths(index: PathIndex, k: int, max_deviations: int | None = None)
     """
     if k <= 0:
         raise ValueError("k is at least 1")
-    scratch = Scratch(index.edges.sparkSession, "topk")
+    spark = index.edges.sparkSession
+    scratch = Scratch(spark, "topk")
     empty = F.array().cast("array<struct<u:bigint,v:bigint>>")
     front = scratch.save(index.roots.select(F.col("dist").alias("cost"), F.col("id").alias("source"), F.col("id").alias("last"), F.lit(0).alias("level"), empty.alias("devs")), "f0")
-    kept, level = front, 0
+    files, level, theta = [scratch.path("f0")], 0, None
     devs = index.devs.select(F.col("src").alias("u"), F.col("dst").alias("v"), "delta")
 
-    def bound(paths: DataFrame) -> int | None:
-        got = paths.select("cost").orderBy("cost").limit(k).agg(F.max("cost").alias("m"), F.count("*").alias("n")).first()
+    def kept() -> DataFrame:
+        whole = spark.read.schema(front.schema).parquet(*files)
+        return whole if theta is None else whole.where(F.col("cost") <= theta)
+
+    def bound(costs: DataFrame) -> int | None:
+        got = costs.orderBy("cost").limit(k).agg(F.max("cost").alias("m"), F.count("*").alias("n")).first()
         return got["m"] if got["n"] == k else None
 
-    theta = bound(kept)
+    theta = bound(kept().select("cost"))
     while max_deviations is None or level < max_deviations:
         level += 1
         chains = index.chains(front.select(F.col("last").alias("id")).distinct()).select(F.col("id").alias("last"), "u")
         step = front.join(chains, "last").join(devs, "u").withColumn("total", F.col("cost") + F.col("delta"))
         if theta is None:  # with no bound yet, the K least of what is known and what comes give one, and nothing beyond it is written
-            theta = bound(kept.select("cost").unionByName(step.select(F.col("total").alias("cost"))))
+            theta = bound(kept().select("cost").unionByName(step.select(F.col("total").alias("cost"))))
         if theta is not None:
             step = step.where(F.col("total") <= theta)
         grown = F.concat("devs", F.array(F.struct("u", "v")))
-        step, n = scratch.save_counted(step.select(F.col("total").alias("cost"), "source", F.col("v").alias("last"), F.lit(level).alias("level"), grown.alias("devs")), f"f{level}", F.count(F.lit(1)))
+        step = step.select(F.col("total").alias("cost"), "source", F.col("v").alias("last"), F.lit(level).alias("level"), grown.alias("devs"))
+        step, n = scratch.save_counted(step, f"f{level}", F.count(F.lit(1)))
         if not n:
             break
-        kept = kept.unionByName(step)
-        theta = bound(kept)
-        front = step
-        if theta is not None:
-            kept = scratch.save(kept.where(F.col("cost") <= theta), f"k{level}")
-            front = step.where(F.col("cost") <= theta)
-    return kept if theta is None else kept.where(F.col("cost") <= theta)
+        files.append(scratch.path(f"f{level}"))
+        theta = bound(kept().select("cost"))
+        front = step if theta is None else step.where(F.col("cost") <= theta)
+    return kept()
 
 
 def with_vertices(paths: DataFrame, index: PathIndex) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slackline.functions.candidates import delta
-from slackline.operators.graph import sinks
+from slackline.operators.graph import degrees
 from slackline.plans.scratch import Scratch
 
 
@@ -16,7 +16,11 @@ class CycleError(ValueError):
     pass
 
 
-def suffix_tree(edges: DataFrame, vertices: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+#: Edges from which on a table without those that are done is worth its writing.
+MANY = 10_000_000
+
+
+def suffix_tree(edges: DataFrame, vertices: DataFrame | None = None, scratch: Scratch | None = None, degree: DataFrame | None = None) -> DataFrame:
     """id, level, dist, succ: topological level from the sinks, cheapest cost to a sink, and the next vertex on that way.
 
     A round joins the vertices found last with the edges that lead to them. A vertex carries the
@@ -24,15 +28,17 @@ def suffix_tree(edges: DataFrame, vertices: DataFrame | None = None, scratch: Sc
     number is its out-degree, which is its level, so each edge is relaxed once, in topological
     order. What a round writes is vertices that it met or that wait, never edges; those are written
     anew only when half of them are done. Ties go to the least head. Sinks have distance 0 and no
-    successor. Raises CycleError.
+    successor. ``degree`` is a written table of ``degrees``. Raises CycleError.
     """
     scratch = scratch or Scratch(edges.sparkSession, "suffix")
     spark = edges.sparkSession
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    start = sinks(edges, vertices).select("id", F.lit(0).alias("level"), F.struct(F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("succ")).alias("best"), F.lit(0).cast("long").alias("met"), F.lit(True).alias("found"))
-    now = scratch.save(start, "round0")
-    degree, n_open = scratch.save_counted(degree, "degree", F.coalesce(F.sum("degree"), F.lit(0)))
-    n_inner, left, filled, written, level = degree.count(), edges, 0, n_open, 0
+    degree = scratch.save(degrees(edges, vertices), "degrees") if degree is None else degree
+    start = degree.where("out_degree = 0")
+    now = start.select("id", F.lit(0).alias("level"), F.struct(F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("succ")).alias("best"), F.lit(0).cast("long").alias("met"), F.lit(True).alias("found"))
+    now, n_sinks = scratch.save_counted(now, "round0", F.count(F.lit(1)))
+    sizes = degree.agg(F.count("*").alias("v"), F.coalesce(F.sum("out_degree"), F.lit(0)).alias("e")).first()
+    degree = degree.select("id", "out_degree")
+    n_inner, left, filled, written, level = sizes["v"] - n_sinks, edges, 0, sizes["e"], 0
     best = F.min("best").alias("best")
     while True:
         level += 1
@@ -40,7 +46,7 @@ def suffix_tree(edges: DataFrame, vertices: DataFrame | None = None, scratch: Sc
         met = left.join(front, "dst").groupBy(F.col("src").alias("id")).agg(F.min(F.struct((F.col("w") + F.col("dist")).alias("dist"), F.col("dst").alias("succ"))).alias("best"), F.count("*").alias("met"))
         waiting = now.where("not found").select("id", "best", "met")
         both = met.unionByName(waiting).groupBy("id").agg(best, F.sum("met").alias("met"))
-        both = both.join(degree, "id").select("id", F.lit(level).alias("level"), "best", "met", (F.col("met") == F.col("degree")).alias("found"))
+        both = both.join(degree, "id").select("id", F.lit(level).alias("level"), "best", "met", (F.col("met") == F.col("out_degree")).alias("found"))
         told = F.struct(F.count_if("found").alias("n"), F.coalesce(F.sum(F.when(F.col("found"), F.col("met"))), F.lit(0)).alias("edges"))
         now, got = scratch.save_counted(both, f"round{level}", told)
         n_inner -= got["n"]
@@ -50,7 +56,7 @@ def suffix_tree(edges: DataFrame, vertices: DataFrame | None = None, scratch: Sc
         if not n_inner:
             level += 1
             break
-        if 2 * filled > written and n_open > 1_000_000:  # edges out of vertices that are found are of no more use
+        if 2 * filled > written > MANY:  # edges out of vertices that are found are of no more use
             done = spark.read.schema(now.schema).parquet(*(scratch.path(f"round{k}") for k in range(1, level + 1))).where("found")
             left, written, filled = scratch.save(left.join(done.select(F.col("id").alias("src")), "src", "left_anti"), f"left{level}"), written - filled, 0
     if n_inner:
@@ -79,14 +85,15 @@ def successor_jumps(tree: DataFrame, scratch: Scratch) -> list[DataFrame]:
 
 
 def suffix_chains(ids: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """id, u, pos: every vertex on the ways of ``ids(id)`` to a sink, in log2(depth) joins."""
+    """id, u, pos: every vertex on the ways of ``ids(id)`` to a sink, in log2(depth) joins. Each doubles the plan, so every third is written."""
     chains = ids.select("id", F.col("id").alias("u"), F.lit(0).alias("pos"))
     tag = uuid.uuid4().hex[:8]
     for k, jump in enumerate(jumps):
-        chains = scratch.save(chains, f"chain_{tag}_{k}")
+        if k % 3 == 0 and (k or len(jumps) > 1):
+            chains = scratch.save(chains, f"chain_{tag}_{k}")
         more = chains.join(jump.select(F.col("id").alias("u"), "to"), "u").select("id", F.col("to").alias("u"), (F.col("pos") + 2**k).alias("pos"))
         chains = chains.unionByName(more)
-    return scratch.save(chains, f"chain_{tag}")
+    return chains
 
 
 def chain_arrays(chains: DataFrame) -> DataFrame:
