@@ -120,28 +120,23 @@ def tile_is_valid(parent_base: Column, family_base: Column, slot: Column, source
     return (parent_base >= 0) & (family_base >= 0) & slot.between(0, sources - 1) & shape
 
 
+#: Why tiles are, or are not, worth it, in the order in which they are tried.
+REASONS = ("no_products", "too_few_products", "low_tile_fill", "high_exact_fraction", "selected")
+
+
 def dispatch(products: Column, exact: Column, capacity: Column, min_products: int = 1_000_000, min_fill: float = 0.5, max_exact: float = 0.05) -> Column:
     """struct(dispatch, reason, exact_fraction, tile_fill, rejected): whether tiles are worth it."""
     if not (0 <= min_fill <= 1 and 0 <= max_exact <= 1):
         raise ValueError("fractions lie between 0 and 1")
     fraction = F.when(products > 0, exact / products).otherwise(0.0)
     fill = F.when((products > 0) & (capacity > 0), products / capacity).otherwise(0.0)
-    reason = (
-        F.when(products == 0, "no_products").when(products < min_products, "too_few_products").when(fill < min_fill, "low_tile_fill")
-        .when(fraction > max_exact, "high_exact_fraction").otherwise("selected")
-    )
-    return F.struct((reason == "selected").alias("dispatch"), reason.alias("reason"), fraction.alias("exact_fraction"), fill.alias("tile_fill"), F.when(products > 0, products - exact).otherwise(0).alias("rejected"))
+    against = F.lit(len(REASONS) - 1)
+    for k, test in reversed(list(enumerate((products == 0, products < min_products, fill < min_fill, fraction > max_exact)))):
+        against = F.when(test, k).otherwise(against)
+    reason = F.when(exact > products, F.raise_error(F.lit("more exact products than products"))).otherwise(F.element_at(F.array(*map(F.lit, REASONS)), against + 1))
+    return F.struct((reason == REASONS[-1]).alias("dispatch"), reason.alias("reason"), fraction.alias("exact_fraction"), fill.alias("tile_fill"), F.when(products > 0, products - exact).otherwise(0).alias("rejected"))
 
 
 def split_increment(average_degree: Column) -> Column:
     """A falling logistic curve of the average degree, from 100 down to 0.1."""
     return F.lit(0.1) + F.lit(99.9) / (1 + F.exp(F.lit(0.8) * (average_degree - 3)))
-
-
-def bytes_avoided(tiles: Column, products: Column, descriptor_bytes: int, node_bytes: int) -> Column:
-    return F.greatest(products * node_bytes - tiles * descriptor_bytes, F.lit(0))
-
-
-def stage_breakdown(pair_meta: Column, prepare: Column, candidate: Column, discovery: Column, queue: Column, sync: Column, residual: Column) -> Column:
-    ready = pair_meta + prepare
-    return F.struct(ready.alias("prepare"), discovery.alias("discovery"), F.greatest(candidate - ready, F.lit(0.0)).alias("materialize"), (queue + sync + residual).alias("rest"))

@@ -86,10 +86,12 @@ def level_spans(edges: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges with both ends replaced by ``mapping(id, new_id)``; an end that is not mapped is an error of the mapping and drops the edge."""
+    """Edges with both ends replaced by ``mapping(id, new_id)``; an end that is not mapped fails the job."""
     a = mapping.select(F.col("id").alias("src"), F.col("new_id").alias("s"))
     b = mapping.select(F.col("id").alias("dst"), F.col("new_id").alias("d"))
-    return edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "w")
+    must = lambda c, of: F.coalesce(c, F.raise_error(F.format_string("vertex %d is not mapped", of)).cast("long"))
+    both = edges.join(a, "src", "left").join(b, "dst", "left")
+    return both.select(must(F.col("s"), F.col("src")).alias("src"), must(F.col("d"), F.col("dst")).alias("dst"), "w")
 
 
 #: Ids that one task ranks at a time.

@@ -153,9 +153,9 @@ def topk_costs(index: PathIndex, k: int, max_deviations: int | None = None) -> D
     return first.select(F.row_number().over(Window.orderBy("cost")).cast("long").alias("rank"), "cost")  # k rows
 
 
-def topk_paths(index: PathIndex, k: int) -> DataFrame:
+def topk_paths(index: PathIndex, k: int, max_deviations: int | None = None) -> DataFrame:
     """rank, cost, level, path (vertices joined by '-'); ties go by the path's name."""
-    first = _named(candidate_paths(index, k), index).orderBy("cost", "name").limit(k)
+    first = _named(candidate_paths(index, k, max_deviations), index).orderBy("cost", "name").limit(k)
     return first.select(F.row_number().over(Window.orderBy("cost", "name")).cast("long").alias("rank"), "cost", "level", F.col("name").alias("path"))  # k rows
 
 
@@ -164,13 +164,13 @@ def topk_with_ties(index: PathIndex, k: int) -> DataFrame:
     return _named(candidate_paths(index, k), index).select("cost", F.col("name").alias("path"))
 
 
-def path_nodes(index: PathIndex, k: int) -> DataFrame:
+def path_nodes(index: PathIndex, k: int, max_deviations: int | None = None) -> DataFrame:
     """node_id, level, from, to, parent, n_children, slack of the K first path nodes, and parents among them.
 
     Numbers are ranks by (cost, source, deviations); a parent costs no more than its child and has
     a shorter list, so it comes first.
     """
-    paths = candidate_paths(index, k).withColumn("key", F.to_json(F.struct("source", "devs")))
+    paths = candidate_paths(index, k, max_deviations).withColumn("key", F.to_json(F.struct("source", "devs")))
     rank = F.row_number().over(Window.orderBy("cost", "level", "key")) - 1
     first = paths.orderBy("cost", "level", "key").limit(k).withColumn("node_id", rank.cast("long"))
     first = Scratch(index.edges.sparkSession, "nodes").save(first, "first")

@@ -22,7 +22,7 @@ cache = paths.StaticCache()
 
 
 def index(spark: SparkSession, sf_dir: str) -> paths.PathIndex:
-    return cache.get((spark.sparkContext.applicationId, sf_dir), lambda: paths.PathIndex.build(derived.edges(spark, sf_dir)))
+    return cache.get((spark.sparkContext.applicationId, sf_dir, derived.stamp(spark, sf_dir)), lambda: paths.PathIndex.build(derived.edges(spark, sf_dir)))
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,25 @@ def _prefix_error(spark: SparkSession, d: str) -> DataFrame:
 def _prefix_compare(spark: SparkSession, d: str) -> DataFrame:
     i = index(spark, d)
     got = metrics.compare_prefix(paths.topk_costs(i, K), paths.topk_costs(i, K, max_deviations=1), K)
-    return got.select("max_diff", "first_mismatch", "passed")
+    return got.select("max_diff", "max_rank", "first_mismatch", "passed")
+
+
+def may_emit_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Deviations whose cheapest parent's candidate is within the final threshold, with its cost; parents are nodes of no or one deviation."""
+    i = index(spark, d)
+    least = _nodes(spark, d).groupBy("src").agg(F.min("cost").alias("parent"))
+    at = lambda end, name: i.tree.select(F.col("id").alias(end), F.col("dist").alias(name))
+    rows = i.devs.where(C.pair_valid(F.col("src"), F.col("dst"), F.col("src"))).join(least, "src").join(at("src", "ds"), "src").join(at("dst", "dd"), "dst")
+    rows = rows.where(C.may_emit(F.col("parent"), F.col("ds"), F.col("dd"), F.col("w"), F.lit(SPLIT), F.lit(FINAL), F.lit(True), F.lit(False)))
+    rows = rows.where(F.col("parent") <= C.parent_threshold(F.lit(FINAL), F.col("delta")))
+    return rows.select("src", "dst", C.candidate_cost(F.col("parent"), F.col("ds"), F.col("dd"), F.col("w")).alias("least"))
+
+
+def conservative_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tile classes that unreachable deviations would make uncertain; every deviation here is reachable."""
+    all_devs = deviations(index(spark, d).edges, index(spark, d).tree, only_reachable=False).groupBy("src").agg(F.count("*").alias("devs"), F.count_if("reachable").alias("reachable_devs"))
+    rows = _tile_classes(spark, d, _nodes).join(all_devs, "src").join(_per_source(spark, d, _nodes).select("src", (F.col("parents") * F.col("families")).alias("products")), "src")
+    return rows.select("src", C.tile_class_conservative(F.col("products"), F.col("reachable_devs"), F.col("devs"), F.col("tile_class")).alias("tile_class"))
 
 
 def _tile_audit(spark: SparkSession, d: str, parents: Query = _parents) -> DataFrame:
@@ -307,7 +325,7 @@ SQL: dict[str, str] = {
     "deviation_slices": _with(_DEV, "SELECT src // 8 AS interval, dst AS row_id, bit_or(CAST(1 << (src % 8) AS INT)) AS mask FROM devs GROUP BY 1, 2"),
     "deviation_discovery": _with(_CAND, "SELECT src, dst FROM devs WHERE src IN (SELECT u FROM chain)"),
     "cost_error_one_deviation": _with(_COUNTED, f"SELECT round(sum(abs(n.cost - e.cost) / e.cost * 100) / {K}, 6) AS avg_error_pct, round(max(abs(n.cost - e.cost) / e.cost * 100), 6) AS max_error_pct FROM exact e JOIN near n USING (rank) WHERE e.cost > 0"),
-    "prefix_comparison": _with(f"{_COUNTED}, off_by AS (SELECT rank, coalesce(abs(n.cost - e.cost), {2**62}) AS d FROM exact e FULL JOIN near n USING (rank))", "SELECT max(d) AS max_diff, min(rank) FILTER (d > 10) AS first_mismatch, min(rank) FILTER (d > 10) IS NULL AS passed FROM off_by"),
+    "prefix_comparison": _with(f"{_COUNTED}, off_by AS (SELECT rank, coalesce(abs(n.cost - e.cost), {2**62}) AS d FROM exact e FULL JOIN near n USING (rank))", "SELECT max(d) AS max_diff, arg_max(rank, (d, -rank)) AS max_rank, min(rank) FILTER (d > 10) AS first_mismatch, min(rank) FILTER (d > 10) IS NULL AS passed FROM off_by"),
     "row_offsets": _with(f"{_E}, {_V}, n AS (SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
     "deviation_offsets": _with(f"{_DEV}, n AS (SELECT id, (SELECT count(*) FROM devs WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
     "dists_in_level_order": _with(_TREE, "SELECT row_number() OVER (ORDER BY level, id) - 1 AS new_id, dist FROM topo JOIN tree USING (id)"),

@@ -30,6 +30,19 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+TABLES = "nation", "customer", "orders", "lineitem", "supplier"
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What changes when a table's files do."""
+    out = []
+    for t in TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((store.getFileStatus(path).getModificationTime(), store.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_parallel(raw_edges(spark, sf_dir))
 

@@ -1,18 +1,21 @@
 """Text forms of graphs and of what is computed on them.
 
-A graph file has the vertex count on its first line, then a quoted name and a semicolon per vertex,
-then ``"u" -> "v"`` per edge, with ``, weight`` if it has one, and a semicolon.
+A graph file has the vertex count on its first line, then a quoted name per vertex, then
+``"u" -> "v"`` per edge, with ``, weight`` if it has one. Semicolons at the end of a line and white
+space around the parts may be there or not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slackline.functions.candidates import SCALE, scaled
+from slackline.operators.graph import level_pointers, row_offsets, sorted_edges
 
-_EDGE = r'^"(\d+)" -> "(\d+)"(?:, ([-0-9.eE+]+))?;\s*$'
-_VERTEX = r'^"([^"]*)";\s*$'
+_EDGE = r'^\s*"(\d+)"\s*->\s*"(\d+)"\s*(?:,\s*([-+0-9.eE]+))?\s*;?\s*$'
+_VERTEX = r'^\s*"[^"]*"\s*;?\s*$'
+_COUNT = r"^\s*\d+\s*$"
 
 
 class GraphFormatError(ValueError):
@@ -23,20 +26,22 @@ def read_graph(spark: SparkSession, path: str, default_weight: float = 0.0, igno
     """vertices(id) and edges(src, dst, w), parallels kept, weights in scaled units.
 
     An edge without a weight gets ``default_weight``; with ``ignore_weights`` every edge does.
-    Raises GraphFormatError if a line can't be read or an end lies outside the stated count.
+    Raises GraphFormatError if a line can't be read, if the stated count isn't that of the vertex
+    lines, or if an end lies outside it.
     """
     lines = spark.read.text(path).where("trim(value) <> ''")
-    edge = F.col("value").rlike(_EDGE)
     # The count is the only line of digits alone; names and edges are quoted.
-    counts = lines.where(F.col("value").rlike(r"^\s*\d+\s*$")).limit(2).collect()
-    if len(counts) != 1:
+    edge, vertex, count = (F.col("value").rlike(x) for x in (_EDGE, _VERTEX, _COUNT))
+    told = lines.agg(F.count_if(vertex).alias("vertices"), F.count_if(count).alias("counts"), F.max(F.when(count, F.trim("value").cast("long"))).alias("n")).first()
+    if told["counts"] != 1:
         raise GraphFormatError("the vertex count is missing or given twice")
-    n = int(counts[0][0])
-    other = lines.where(~edge & ~F.col("value").rlike(_VERTEX) & ~F.col("value").rlike(r"^\s*\d+\s*$"))
+    n = told["n"]
+    if told["vertices"] != n:
+        raise GraphFormatError(f"{n} vertices are stated and {told['vertices']} named")
     weight = F.regexp_extract("value", _EDGE, 3)
     given = F.lit(default_weight) if ignore_weights else F.when(weight == "", F.lit(default_weight)).otherwise(weight.try_cast("double"))
     edges = lines.where(edge).select(F.regexp_extract("value", _EDGE, 1).cast("long").alias("src"), F.regexp_extract("value", _EDGE, 2).cast("long").alias("dst"), scaled(given).alias("w"))
-    bad = other.select("value").union(out_of_range(edges, n).select(F.to_json(F.struct("src", "dst")))).first()
+    bad = lines.where(~edge & ~vertex & ~count).select("value").union(out_of_range(edges, n).select(F.to_json(F.struct("src", "dst")))).first()
     if bad:
         raise GraphFormatError(f"can't use {bad[0]!r} in a graph of {n} vertices")
     return spark.range(n), edges
@@ -59,18 +64,46 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     rows.orderBy("kind", "a", "b").select("value").write.mode("overwrite").text(path)
 
 
-def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst of an adjacency-list file: a header, then line k names the neighbours of vertex k (from 1). Edges point from the lesser id to the greater, so there is no cycle."""
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``k``, their number from 0 over all files in order of name; counted by part of a file, so none is read in one task."""
     from pyspark.sql import Window
 
-    lines = spark.read.text(path).where(~F.col("value").startswith("%")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    sizes = lines.groupBy("part").agg(F.count("*").alias("n"))  # a row per partition
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    k = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1 + F.col("base")
-    numbered = lines.join(F.broadcast(base.select("part", "base")), "part").withColumn("k", k).where("k > 0")
-    near = F.explode(F.expr(r"filter(split(trim(value), '\\s+'), x -> x <> '')"))
-    pairs = numbered.select((F.col("k") - 1).alias("a"), near.alias("b")).select("a", (F.col("b").cast("long") - 1).alias("b")).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    parts = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"))  # a row per part
+    base = sizes.select(F.col("file").alias("f"), F.col("start").alias("s"), F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("file", "start").orderBy("at")) - 1
+    placed = lines.withColumn("k", within).join(base, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
+    return placed.select("value", (F.col("base") + F.col("k")).alias("k"))
+
+
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
+def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst of an adjacency-list file: a header, then line k names the neighbours of vertex k (from 1).
+
+    The header is vertices, edges, and perhaps a format of three digits (vertex sizes, vertex
+    weights, edge weights are given) and a number of weights a vertex; what isn't a neighbour is
+    passed over. Edges point from the lesser id to the greater, so there is no cycle. Raises
+    GraphFormatError on a header that can't be read, too many lines or a neighbour that isn't there.
+    """
+    numbered = _numbered(_read_lines(spark, path).where(~F.col("value").startswith("%")))
+    head = numbered.where("k = 0").first()
+    told = head["value"].split() if head else []
+    if not 2 <= len(told) <= 4 or not all(x.isdigit() for x in told):
+        raise GraphFormatError("the header doesn't give vertices and edges")
+    n, form = int(told[0]), told[2].zfill(3) if len(told) > 2 else "000"
+    weights = (int(told[3]) if len(told) > 3 else 1) if form[1] == "1" else 0
+    fields = F.expr(r"filter(split(trim(value), '\\s+'), x -> x <> '')")
+    near = numbered.where("k > 0").select("k", F.slice(fields, 1 + weights + (form[0] == "1"), 2**30).alias("x"))
+    if form[2] == "1":
+        near = near.select("k", F.filter("x", lambda _, i: i % 2 == 0).alias("x"))
+    pairs = near.select((F.col("k") - 1).alias("a"), F.explode("x").alias("b")).select("a", (F.col("b").try_cast("long") - 1).alias("b"))
+    bad = pairs.where(F.col("b").isNull() | (F.col("b") < 0) | (F.col("b") >= n) | (F.col("a") >= n)).first()
+    if bad:
+        raise GraphFormatError(f"vertex {bad['a'] + 1} of {n} has a neighbour that can't be used")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def read_timing_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +115,7 @@ def read_timing_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """
     from pyspark.sql import Window
 
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("f", F.split(F.trim("value"), r"\s+")).where(F.col("f")[0] == "insert_edge")
+    lines = _numbered(_read_lines(spark, path)).withColumnRenamed("k", "at").withColumn("f", F.split(F.trim("value"), r"\s+")).where(F.col("f")[0] == "insert_edge")
     times = F.transform(F.filter(F.slice("f", 4, 99), lambda x: x != "n/a"), lambda x: x.try_cast("double"))
     rows = lines.select("value", "at", F.size("f").alias("n"), F.col("f")[1].alias("a"), F.col("f")[2].alias("b"), times.alias("t"))
     bad = rows.where((F.col("n") != 11) | (F.size("t") == 0) | F.exists("t", lambda x: x.isNull())).first()
@@ -101,8 +134,6 @@ def read_timing_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def dumps(edges: DataFrame, tree: DataFrame) -> dict[str, DataFrame]:
     """The tables that other tools read, by name; distances with four decimals."""
-    from slackline.operators.graph import level_pointers
-
     decimals = lambda c: F.format_string("%.4f", F.col(c) / SCALE)
     return {
         "edge_list": edges.select("src", "dst"),
@@ -121,6 +152,42 @@ def write_dump(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep=" ")
 
 
+def write_dumps(edges: DataFrame, tree: DataFrame, folder: str) -> None:
+    """Every table of ``dumps`` in a folder of its name."""
+    for name, df in dumps(edges, tree).items():
+        write_dump(df, f"{folder}/{name}")
+
+
+def write_csr(edges: DataFrame, vertices: DataFrame, folder: str) -> None:
+    """A compressed sparse matrix as tables: offsets(id, first, n) and targets(src, k, dst, w)."""
+    row_offsets(edges, vertices).write.mode("overwrite").parquet(f"{folder}/offsets")
+    sorted_edges(edges).write.mode("overwrite").parquet(f"{folder}/targets")
+
+
+def read_csr(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """vertices(id) and edges(src, dst, w); ValueError unless rows are as long as the offsets say."""
+    offsets, targets = spark.read.parquet(f"{folder}/offsets"), spark.read.parquet(f"{folder}/targets")
+    held = targets.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("m"), F.max("k").alias("last"))
+    wrong = offsets.where("n > 0").join(held, "id", "full").where("n IS NULL OR m IS NULL OR n <> m OR last <> n - 1").first()
+    if wrong:
+        raise ValueError(f"the row of vertex {wrong['id']} is not as long as its offset says")
+    return offsets.select("id"), targets.select("src", "dst", "w")
+
+
+def read_successors(spark: SparkSession, path: str) -> DataFrame:
+    """id, succ (null at sinks), dist of a successor dump; ValueError if a vertex comes twice."""
+    rows = spark.read.csv(path, sep=" ", schema="id long, succ long, dist long")
+    twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice:
+        raise ValueError(f"vertex {twice['id']} comes {twice['n']} times")
+    return rows.select("id", F.when(F.col("succ") >= 0, F.col("succ")).alias("succ"), "dist")
+
+
+def base_name(path: Column) -> Column:
+    """The last part of a path, without what stands behind its first point."""
+    return F.regexp_extract(path, r"([^/.]+)[^/]*/?$", 1)
+
+
 def load_dumps(spark: SparkSession, suffix: str, edges: str, levels: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """suffix(id, dist), edges(src, dst, w), levels(id, level) in scaled units; ValueError unless levels cover the vertices."""
     read = lambda p, s: spark.read.csv(p, sep=" ", schema=s)
@@ -129,7 +196,7 @@ def load_dumps(spark: SparkSession, suffix: str, edges: str, levels: str) -> tup
     level = read(levels, "id long, level int")
     n, m = dist.count(), level.count()
     if n != m or not dist.join(level, "id", "left_anti").isEmpty():
-        raise ValueError(f"levels cover {m} nodes but suffix has {n}")
+        raise ValueError(f"the level table names {m} vertices, the distance table {n}, or others")
     return dist, edge, level
 
 

@@ -11,6 +11,7 @@ from slackline.plans.scratch import Scratch
 from slackline.sources import graph_text
 
 FIVE = [(0, 1, 1000), (0, 2, 2000), (1, 3, 1000), (2, 3, 500), (3, 4, 1000)]
+#: The twelve-vertex example of a published paper, in its order.
 TWELVE = """12
 "0";
 "1";
@@ -24,20 +25,20 @@ TWELVE = """12
 "9";
 "10";
 "11";
-"0" -> "3", 4;
-"0" -> "4", 1;
-"1" -> "4", 2;
+"0" -> "3", 4.0;
+"0" -> "4", 1.0;
+"1" -> "4", 2.0;
 "2" -> "4", 4.0;
-"2" -> "5", 3;
-"3" -> "6", 3;
-"4" -> "7", 4;
-"5" -> "8", 6;
-"5" -> "10", 5;
-"6" -> "9", 2;
-"6" -> "10", 3;
-"7" -> "6", 1;
-"7" -> "10", 2;
-"8" -> "11", 1;
+"2" -> "5", 3.0;
+"3" -> "6", 3.0;
+"4" -> "7", 4.0;
+"5" -> "10", 5.0;
+"5" -> "8", 6.0;
+"6" -> "9", 2.0;
+"6" -> "10", 3.0;
+"7" -> "6", 1.0;
+"7" -> "10", 2.0;
+"8" -> "11", 1.0;
 """
 
 
@@ -92,12 +93,72 @@ def test_twelve_vertices_from_text(spark, tmp_path):
 
 
 def test_text_errors(spark, tmp_path):
-    for text in ('2\n"0";\n"1";\n"0" -> "5";\n', '2\n"0";\nrubbish\n'):
+    for text in ('2\n"0";\n"1";\n"0" -> "5";\n', '2\n"0";\nrubbish\n', '3\n"0";\n"1";\n"0" -> "1";\n', '"0";\n', '2\n"0"\n"1"\nrubbish\n'):
         (tmp_path / "bad.txt").write_text(text)
         with pytest.raises(graph_text.GraphFormatError):
             graph_text.read_graph(spark, str(tmp_path / "bad.txt"))
     (tmp_path / "w.txt").write_text('2\n"0";\n"1";\n"0" -> "1";\n"0" -> "1", 2.3;\n')
     assert [r["w"] for r in graph_text.read_graph(spark, str(tmp_path / "w.txt"), default_weight=1.0)[1].collect()] == [10000, 23000]
+    # Vertex lines without a semicolon, edges without spaces or semicolon.
+    (tmp_path / "loose.txt").write_text('5\n"0"\n"1"\n"2"\n"3" ;\n"4"\n"0"->"1",0.10\n"0" -> "2" , 0.2;\n "1" -> "3"\n')
+    vertices, edges = graph_text.read_graph(spark, str(tmp_path / "loose.txt"))
+    assert vertices.count() == 5 and sorted(map(tuple, edges.collect())) == [(0, 1, 1000), (0, 2, 2000), (1, 3, 0)]
+
+
+def test_adjacency_lists(spark, tmp_path):
+    f = tmp_path / "a.graph"
+    for text in ("% remark\n4 3\n2 3\n1\n1 4\n3\n", "4 3 001\n2 9 3 9\n1 9\n1 9 4 9\n3 9\n", "4 3 11 2\n7 7 2 9 3 9\n7 7 1 9\n7 7 1 9 4 9\n7 7 3 9\n", "4 3 110\n5 7 2 3\n5 7 1\n5 7 1 4\n5 7 3\n"):
+        f.write_text(text)
+        assert sorted(map(tuple, graph_text.read_dimacs(spark, str(f)).collect())) == [(0, 1), (0, 2), (2, 3)], text
+    f.write_text("3 1\n\n3\n2\n")
+    assert [tuple(r) for r in graph_text.read_dimacs(spark, str(f)).collect()] == [(1, 2)]
+    for text in ("4 1\n5\n", "4\n1\n", "2 1\n2\n1\n1\n", "2 1\nx\n1\n"):
+        f.write_text(text)
+        with pytest.raises(graph_text.GraphFormatError):
+            graph_text.read_dimacs(spark, str(f))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from slackline import __main__ as cli
+
+    (tmp_path / "g.txt").write_text(TWELVE)
+    g, out = str(tmp_path / "g.txt"), str(tmp_path / "out")
+    for args in (["costs", g, out + "/c", "--k", "3,5", "--times", out + "/t"], ["paths", g, out + "/p", "--k", "4"], ["nodes", g, out + "/n", "--k", "4"], ["compare", g, out + "/c/5", "--k", "5"], ["stats", g],
+                 ["levels", g, out + "/l"], ["dumps", g, out + "/d"], ["edge-list", g, out + "/e"], ["csr", g, out + "/csr"], ["densify", g, out + "/dense", "--degree", "1.5"],
+                 ["weigh", g, out + "/w", "--unit"], ["size-up", g, out + "/s", "--times", "3"]):
+        cli.main(args)
+    told = capsys.readouterr().out
+    assert "true" in told and "1.1667" in told
+    assert [r["cost"] for r in graph_text.read_costs(spark, out + "/c/3").orderBy("rank").collect()] == [70000, 80000, 80000]
+    assert {"edges", "tree", "costs 3", "costs 5"} <= {r["phase"] for r in spark.read.csv(out + "/t", header=True).collect()}
+    assert graph_text.read_graph(spark, out + "/s")[1].count() == 42 and 14 < graph_text.read_graph(spark, out + "/dense")[1].count() <= 18
+    assert {r["w"] for r in graph_text.read_graph(spark, out + "/w")[1].collect()} == {10000}
+    assert graph_text.read_csr(spark, out + "/csr")[1].count() == 14
+    (tmp_path / "a.graph").write_text("4 3\n2 3\n1\n1 4\n3\n")
+    cli.main(["from-adjacency", str(tmp_path / "a.graph"), out + "/fa", "--default-weight", "2"])
+    assert {r["w"] for r in graph_text.read_graph(spark, out + "/fa")[1].collect()} == {20000}
+    with pytest.raises(Exception, match="not mapped"):
+        graph.relabel(frame(spark, FIVE), spark.createDataFrame([(0, 1)], "id long, new_id long")).collect()
+
+
+def test_unreached_and_large_groups(spark):
+    loop = frame(spark, [(0, 1, 1), (2, 3, 1), (3, 2, 1)])
+    assert {r["id"]: r["level"] for r in graph.bfs_levels(loop).collect()} == {0: 1, 1: 0, 2: -1, 3: -1}
+    assert metrics.unvisited(graph.bfs_levels(loop).withColumnRenamed("level", "depth")).first()["n"] == 2
+    draw = random.Random(2)
+    parents = [(k, k % 2, draw.choice((draw.randint(0, 30), draw.randint(-(10**12), 10**12)))) for k in range(300)]
+    families = [(k, k % 3, k, draw.randint(0, 40)) for k in range(120)]
+    p, f = spark.createDataFrame(parents, "parent_id long, src long, cost long"), spark.createDataFrame(families, "family_id long, src long, dst long, delta long")
+    order = {r["parent_id"]: r["k"] for r in selection.in_source_order(p).collect()}
+    assert order == {i: sorted((c, j) for j, t, c in parents if t == s).index((c, i)) + 1 for i, s, c in parents}
+    for split, final in ((20, 60), (20, None), (60, 20)):
+        want = []
+        for i, s, _, delta in families:
+            costs = [c + delta for _, t, c in parents if t == s]
+            short = sum(c <= split for c in costs)
+            long = sum(split < c <= (2**62 if final is None else final) for c in costs)
+            want += [(i, short, long, len(costs) - short - long, len(costs))] * bool(costs)
+        assert sorted(map(tuple, selection.family_counts(p, f, split, final).collect())) == want
 
 
 def test_timing_edges(spark, tmp_path):

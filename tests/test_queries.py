@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from slackline.plans import registry
+from slackline.plans import files, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
@@ -16,12 +16,18 @@ def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got = registry.QUERIES[name](spark, DATA)
+    queries, sql = {**registry.QUERIES, **files.QUERIES}, {**registry.SQL, **files.SQL}
+    got = queries[name](spark, DATA)
     columns = sorted(got.columns)
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.SQL[name]})").fetchall()
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
 
 
+@pytest.mark.parametrize("name", list(files.QUERIES))
+def test_files_same_as_sql(spark, name):
+    test_same_as_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", [n for n in registry.QUERIES if n.startswith("node_")])
 def test_nodes_same_as_sql(spark, name):
     test_same_as_sql(spark, name)
