@@ -11,8 +11,9 @@ a logistic curve turns them into a score.
 
 Insult words come from a fixed list and from labelled rows: words and word beginnings whose log
 odds stay high after subtracting their uncertainty. The fit uses at most SAMPLE labelled rows, and
-every feature that occurs LEAST times in them. LEAST, FLOOR, Z and the features of the curve were
-chosen by ``cross_validate`` inside rows that are not held out.
+every feature that occurs LEAST times in them. LEAST, SETTINGS and the features of the curve were
+chosen by ``cross_validate`` inside rows that are not held out; which of SETTINGS serves, a fit finds
+out on those of its rows that gave no words, as few labels and many want different ones.
 
 Defined cases: null and empty texts match no clause and get the lowest score; a null doc_id is not
 held out; repeated rows are scored each; an empty table gives nothing; without labelled rows of both
@@ -40,8 +41,10 @@ from slackline.plans.scratch import Scratch
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 16_000
-#: Rows of label 1 that a learned feature is in, the least lower bound of its log odds, and how many deviations below the odds that bound lies.
-LEAST, FLOOR, Z = 3, 1.6, 1.6
+#: Rows of label 1 that a learned feature is in.
+LEAST = 3
+#: The least lower bound of a learned feature's log odds, and how many deviations below the odds that bound lies.
+SETTINGS = ((1.6, 1.6), (2.0, 1.6), (2.6, 1.6), (2.6, 1.3))
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
 #: Distinct symbol sequences that a worker keeps from text to text.
 SEQUENCES = 50_000
@@ -194,8 +197,8 @@ class Scorer:
 
     N = 4
 
-    def __init__(self, learned: dict[str, float]):
-        self.symbols = Symbols(Lexicon(learned))
+    def __init__(self, learned: dict[str, float], most: int = 16 << 20):
+        self.symbols = Symbols(Lexicon(learned), most)
         self.telling = np.zeros(0, dtype=bool)
 
     def clauses(self, text: str) -> tuple[int, list[float]]:
@@ -265,7 +268,7 @@ def _counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
     return rows.select("text").mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def weigh(often: dict[str, int], base: dict[str, int], pos: int, neg: int, floor: float = FLOOR, z: float = Z) -> dict[str, float]:
+def weigh(often: dict[str, int], base: dict[str, int], pos: int, neg: int, floor: float, z: float) -> dict[str, float]:
     """Weights of the features that mark label 1, from how many rows of each label have them."""
     found = {}
     for word, a in often.items():
@@ -285,19 +288,19 @@ def weigh(often: dict[str, int], base: dict[str, int], pos: int, neg: int, floor
     return found
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Weights of the words and beginnings that mark label 1; a sample of bounded rows has a bounded number of them."""
+def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
+    """By setting, weights of the words and beginnings that mark label 1; a sample of bounded rows has a bounded number of them."""
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
-        return {}
-    often = _counted(sample.where("label = 1"), None).where(F.col("n") >= max(LEAST, least_rows(pos, neg)))
-    often = {r["feature"]: r["n"] for r in often.collect()}
+        return [{}]
+    least = max(LEAST, min(least_rows(pos, neg, floor, z) for floor, z in SETTINGS))
+    often = {r["feature"]: r["n"] for r in _counted(sample.where("label = 1"), None).where(F.col("n") >= least).collect()}
     base = {r["feature"]: r["n"] for r in _counted(sample.where("label = 0"), set(often)).collect()}
-    return weigh(often, base, pos, neg)
+    return [weigh(often, base, pos, neg, floor, z) for floor, z in SETTINGS]
 
 
-def least_rows(pos: int, neg: int, floor: float = FLOOR, z: float = Z) -> int:
+def least_rows(pos: int, neg: int, floor: float, z: float) -> int:
     """Rows of label 1 below which no feature can reach the floor, even if no row of label 0 has it."""
     a = 1
     while a < pos and math.log((a + 0.1) / (pos + 1)) - math.log(0.5 / (neg + 1)) - z * math.sqrt(1 / (a + 0.1) + 2 - (1 / (pos + 1) + 1 / (neg + 1))) < floor:
@@ -371,23 +374,37 @@ def _newton(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05)
 PLAIN_CURVE = [-3.0, 0.0, 0.5, 1.0, 0.5]
 
 
+def two_fold_loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Log loss of curves that are fitted to one half of the rows and asked about the other, both ways."""
+    loss, halves = 0.0, np.arange(len(y)) % 2 == 0
+    for half in (halves, ~halves):
+        w = fit_curve(x[half], y[half])
+        p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x[~half] @ np.array(w[1:]), -30, 30))), 1e-6, 1 - 1e-6)
+        loss -= float((y[~half] * np.log(p) + (1 - y[~half]) * np.log(1 - p)).sum())
+    return loss / len(y)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """{"lexicon": weights, "curve": coefficients}: words from two thirds of the sample, the curve from the rest."""
+    """{"lexicon": weights, "curve": coefficients}: words from two thirds of the sample, choice of setting and curve from the rest."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = scratch.save(labelled_sample(docs, labels, "toxic", FOLDS, FOLD, sample), "sample")
-    lexicon = learn_lexicon(rows.where("part <> 0"))
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    lexicons = learn_lexicons(rows.where("part <> 0"))
+    held = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(held.value)
+        scorers = [Scorer(lexicon, 4 << 20) for lexicon in held.value]
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "x": [scorer.features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"label": batch["label"], "x": [[v for s in scorers for v in s.features(t)] for t in batch["text"]]})
 
     got = rows.where("part = 0").select("text", "label").mapInPandas(measure, "label int, x array<double>").toPandas()  # at most `sample` rows
     scratch.drop("sample")
     if got["label"].nunique() < 2:
-        return {"lexicon": lexicon, "curve": PLAIN_CURVE}
-    return {"lexicon": lexicon, "curve": fit_curve(np.array(got["x"].tolist()), got["label"].to_numpy(dtype=float))}
+        return {"lexicon": lexicons[0], "curve": PLAIN_CURVE}
+    x, y = np.array(got["x"].tolist()).reshape(len(got), len(lexicons), Scorer.N), got["label"].to_numpy(dtype=float)
+    order = np.lexsort((*x.reshape(len(x), -1).T, y))  # the same halves whatever order rows come in, and labels in both
+    x, y = x[order], y[order]
+    best = min(range(len(lexicons)), key=lambda k: (two_fold_loss(x[:, k], y), k))
+    return {"lexicon": lexicons[best], "curve": fit_curve(x[:, best], y)}
 
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
