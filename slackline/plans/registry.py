@@ -321,7 +321,8 @@ SQL: dict[str, str] = {
     "tile_stats": _with(f"{_CAND}, per AS (SELECT src, count(DISTINCT parent_id) AS parents, count(DISTINCT family_id) AS families FROM made GROUP BY src)", "SELECT count(*) AS sources, CAST(sum(families) AS BIGINT) AS pairs, CAST(sum(parents) AS BIGINT) AS parents, CAST(sum(parents * families) AS BIGINT) AS products, max(parents) AS max_parents, max(families) AS max_families, max(parents * families) AS max_products, " + ", ".join(_tiles(*t) for t in ((16, 16), (16, 32), (32, 32))).replace("parents /", "per.parents /") + " FROM per"),
     "bit_slices": _with(_E, "SELECT dst // 8 AS interval, src AS row_id, bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY 1, 2"),
     "bit_slice_summary": _with(f"{_E}, s AS (SELECT bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY dst // 8, src)", "SELECT count(*) AS slices, CAST(sum(bit_count(mask)) AS BIGINT) AS bits, round(sum(bit_count(mask)) / (count(*) * 8), 6) AS ratio FROM s"),
-    "bit_slice_mismatches": _with(_E, "SELECT src, dst FROM edges WHERE false"),
+    "bit_slice_mismatches": _with(f"""{_E}, s AS (SELECT dst // 8 AS interval, src AS row_id, bit_or(CAST(1 << (dst % 8) AS INT)) AS mask FROM edges GROUP BY 1, 2),
+told AS (SELECT row_id AS src, interval * 8 + b AS dst FROM s, range(8) r(b) WHERE (mask >> CAST(b AS INT)) & 1 = 1)""", "(SELECT src, dst FROM told EXCEPT SELECT src, dst FROM edges) UNION ALL (SELECT src, dst FROM edges EXCEPT SELECT src, dst FROM told)"),
     "deviation_slices": _with(_DEV, "SELECT src // 8 AS interval, dst AS row_id, bit_or(CAST(1 << (src % 8) AS INT)) AS mask FROM devs GROUP BY 1, 2"),
     "deviation_discovery": _with(_CAND, "SELECT src, dst FROM devs WHERE src IN (SELECT u FROM chain)"),
     "cost_error_one_deviation": _with(_COUNTED, f"SELECT round(sum(abs(n.cost - e.cost) / e.cost * 100) / {K}, 6) AS avg_error_pct, round(max(abs(n.cost - e.cost) / e.cost * 100), 6) AS max_error_pct FROM exact e JOIN near n USING (rank) WHERE e.cost > 0"),
@@ -329,7 +330,9 @@ SQL: dict[str, str] = {
     "row_offsets": _with(f"{_E}, {_V}, n AS (SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
     "deviation_offsets": _with(f"{_DEV}, n AS (SELECT id, (SELECT count(*) FROM devs WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
     "dists_in_level_order": _with(_TREE, "SELECT row_number() OVER (ORDER BY level, id) - 1 AS new_id, dist FROM topo JOIN tree USING (id)"),
-    "gate_counts": _with(_E + ", " + _V, "SELECT (SELECT count(*) FROM vertices) AS n_vertices, (SELECT count(*) FROM edges) AS n_edges, CAST(0 AS BIGINT) AS bad_sinks, CAST(0 AS BIGINT) AS bad_levels, CAST(0 AS BIGINT) AS not_least, CAST(0 AS BIGINT) AS bad_successors"),
+    "gate_counts": _with(f"""{_TREE}, both AS (SELECT e.dst, e.w, a.dist AS ds, a.succ, x.level AS ls, b.dist AS dd, y.level AS ld FROM edges e
+  JOIN tree a ON a.id = e.src JOIN topo x ON x.id = e.src JOIN tree b ON b.id = e.dst JOIN topo y ON y.id = e.dst)""", """SELECT (SELECT count(*) FROM vertices) AS n_vertices, (SELECT count(*) FROM tree JOIN topo USING (id) WHERE succ IS NULL AND (dist <> 0 OR level <> 0)) AS bad_sinks,
+  count(*) AS n_edges, count(*) FILTER (ls <= ld) AS bad_levels, count(*) FILTER (ds > w + dd) AS not_least, count(*) FILTER (dst = succ AND ds <> w + dd) AS bad_successors FROM both"""),
     "edge_lookup": _with(_TREE, "SELECT src, dst, src * 1000000000 + dst AS edge_id, w FROM edges JOIN tree ON id = src AND succ = dst UNION ALL SELECT succ, id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM tree WHERE succ IS NOT NULL"),
     "paths_per_vertex": _with(_KEYED, f"SELECT to_v AS last, count(*) AS n FROM (SELECT to_v FROM ended QUALIFY rank() OVER (ORDER BY cost) <= {K}) GROUP BY 1"),
     "path_nodes": _with(_KEYED, "SELECT a.node_id, a.level, a.from_v, a.to_v, coalesce(p.node_id, -1) AS parent, (SELECT count(*) FROM nodes c WHERE c.level > 0 AND c.source = a.source AND c.up = a.devs) AS n_children, a.cost AS slack FROM nodes a LEFT JOIN nodes p ON a.level > 0 AND p.source = a.source AND p.devs = a.up"),
