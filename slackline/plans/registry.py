@@ -330,9 +330,9 @@ told AS (SELECT row_id AS src, interval * 8 + b AS dst FROM s, range(8) r(b) WHE
     "row_offsets": _with(f"{_E}, {_V}, n AS (SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
     "deviation_offsets": _with(f"{_DEV}, n AS (SELECT id, (SELECT count(*) FROM devs WHERE src = id) AS n FROM vertices)", "SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM n"),
     "dists_in_level_order": _with(_TREE, "SELECT row_number() OVER (ORDER BY level, id) - 1 AS new_id, dist FROM topo JOIN tree USING (id)"),
-    "gate_counts": _with(f"""{_TREE}, both AS (SELECT e.dst, e.w, a.dist AS ds, a.succ, x.level AS ls, b.dist AS dd, y.level AS ld FROM edges e
+    "gate_counts": _with(f"""{_TREE}, met AS (SELECT e.dst, e.w, a.dist AS ds, a.succ, x.level AS ls, b.dist AS dd, y.level AS ld FROM edges e
   JOIN tree a ON a.id = e.src JOIN topo x ON x.id = e.src JOIN tree b ON b.id = e.dst JOIN topo y ON y.id = e.dst)""", """SELECT (SELECT count(*) FROM vertices) AS n_vertices, (SELECT count(*) FROM tree JOIN topo USING (id) WHERE succ IS NULL AND (dist <> 0 OR level <> 0)) AS bad_sinks,
-  count(*) AS n_edges, count(*) FILTER (ls <= ld) AS bad_levels, count(*) FILTER (ds > w + dd) AS not_least, count(*) FILTER (dst = succ AND ds <> w + dd) AS bad_successors FROM both"""),
+  count(*) AS n_edges, count(*) FILTER (ls <= ld) AS bad_levels, count(*) FILTER (ds > w + dd) AS not_least, count(*) FILTER (dst = succ AND ds <> w + dd) AS bad_successors FROM met"""),
     "edge_lookup": _with(_TREE, "SELECT src, dst, src * 1000000000 + dst AS edge_id, w FROM edges JOIN tree ON id = src AND succ = dst UNION ALL SELECT succ, id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM tree WHERE succ IS NOT NULL"),
     "paths_per_vertex": _with(_KEYED, f"SELECT to_v AS last, count(*) AS n FROM (SELECT to_v FROM ended QUALIFY rank() OVER (ORDER BY cost) <= {K}) GROUP BY 1"),
     "path_nodes": _with(_KEYED, "SELECT a.node_id, a.level, a.from_v, a.to_v, coalesce(p.node_id, -1) AS parent, (SELECT count(*) FROM nodes c WHERE c.level > 0 AND c.source = a.source AND c.up = a.devs) AS n_children, a.cost AS slack FROM nodes a LEFT JOIN nodes p ON a.level > 0 AND p.source = a.source AND p.devs = a.up"),
