@@ -54,6 +54,7 @@ class WordIds(memo.Halves):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.names = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Latin letters from U+0080, as the model reads them; composed, so normal form C leaves them alone.
         self.letters = {k: split(chr(k))[0][0] for k in range(0x80, 0x130) if chr(k).isalpha()}
 
@@ -65,19 +66,29 @@ class WordIds(memo.Halves):
         return cls.tables[path, most]
 
     def learnt(self, word: str) -> bytes:
+        ascii = word.isascii()
+        if word.isalpha() and (ascii or max(word) < "\u0130"):
+            low = word.lower()
+            if low != word:
+                return self[low]
+            return array("I", [t.id for t in self.model.tokenize(word if ascii else word.translate(self.letters))]).tobytes()
         core = word.rstrip(STOPS)
         if core != word and core[-1:].isalpha() and core[-1] < "\u0130":  # later letters may end in a mark, which joins the stop
-            ids = self[core] + self[word[len(core) :]]
-        elif word.isalpha() and max(word) < "\u0130":
-            low = word.lower()
-            plain = word if word.isascii() else word.translate(self.letters)
-            ids = self[low] if low != word else array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-        else:
-            ids = array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
-        return ids
+            return self[core] + self[word[len(core) :]]
+        return array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
 
     def of_text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        low = text.lower() if text.isascii() or self._latin(text) else text  # at once, where letters lower one by one
+        if any(name in low for name in self.names):  # found by the tokenizer as they are written
+            low = text
+        return b"".join(map(self.__getitem__, low.replace("\n", " ").split(" ")))
+
+    @staticmethod
+    def _latin(text: str) -> bool:
+        try:
+            return bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
 
 
 memo.register("packing", WordIds.tables.clear)

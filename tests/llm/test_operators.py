@@ -227,7 +227,7 @@ def test_word_ids():
     path = packing.default_tokenizer()
     ids, encode, draw = packing.WordIds(path, most=10_000), Tokenizer.from_file(path).encode, random.Random(5)
     letters = list("abcXYZ\u00e9\u00c9\u00dfŁ.,!$#;:?%&*'<|> \n\t09日é\u0130ıſµª\u0958")
-    odd = ["", "  ", "\u0130,", "\u0958.", "don't we'll I'M", "<|endoftext|>x <|startoftext|>.", "...,,, a.b,c .a ,", "Ελλάδα. РУССКИЙ!!", "\u0301a \u200bz\r\n q", "x" * 5000]
+    odd = ["", "  ", "\u0130,", "\u0958.", "don't we'll I'M", "<|endoftext|>x <|startoftext|>.", "<|ENDOFTEXT|> Ab <|EndOfText|>", "ÀÉÎ, ÑÜß. A\x85B ºª\xad", "...,,, a.b,c .a ,", "Ελλάδα. РУССКИЙ!!", "\u0301a \u200bz\r\n q", "x" * 5000]
     for text in odd + ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(2000)]:
         assert ids.of_text(text) == np.asarray(encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
     assert len(ids) + len(ids.old) <= 2 * 10_000 // packing.memo.ENTRY_BYTES and max(map(len, ids)) <= ids.longest
