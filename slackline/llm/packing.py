@@ -42,7 +42,8 @@ class WordIds(memo.Halves):
     Sound for tokenizers whose tokens cross neither a space nor the end of a run of letters, and
     that ignore case: a text's ids are its words' ids, a word's ids those of its letters in lower
     case and of the marks behind them. Runs of Latin letters go to the tokenizer's model,
-    the rest through the whole tokenizer. One table serves all tasks of a worker.
+    the rest through the whole tokenizer. Latin-1 texts are lowered at once, unless an added token is named in them.
+    One table serves all tasks of a worker.
     """
 
     tables: dict[tuple[str, int], WordIds] = {}
